@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from strandgraph.llm.common import prepare, table
 
 
@@ -11,6 +13,26 @@ def op1_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(prepare(spark), sf_dir, "documents")).drop("spans")
 
 
+def op3_secret_scan(spark, sf_dir):
+    from strandgraph.llm.secret_scan import digest, scan_secrets
+
+    return digest(scan_secrets(table(prepare(spark), sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
+def op7_telephony_audio(spark, sf_dir):
+    from strandgraph.llm.telephony import describe, store
+
+    d = describe(store(table(prepare(spark), sf_dir, "documents")))
+    figures = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"]
+    return d.select(*figures, F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
+def op10_minhash_near_dedup(spark, sf_dir):
+    from strandgraph.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
