@@ -5,7 +5,7 @@ passes; a pass keeps the suffixes whose digit is shared and drops the rest:
 
 1. digit one is a 64-byte anchor of the window (its minimiser, so that equal
    windows have equal anchors at equal places); only shared anchors go on;
-2. digit two is the place in the anchor's block of eight neighbouring windows:
+2. digit two is the place in the anchor's block of sixteen neighbouring windows:
    a block whose whole extent is shared is settled, one whose common core is
    not shared is dropped;
 3. only windows of undecided blocks are compared one by one, on 128 bits.
@@ -35,7 +35,7 @@ from strandgraph.llm.common import U, as_table, capped, grouped, mix, pack, part
 WINDOW = 200
 ANCHOR = 64
 SPAN = WINDOW - ANCHOR + 1
-BLOCK = 8
+BLOCK = 16
 PIECE = 1 << 19
 PLACE = U((1 << 20) - 1)
 SEEDS = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
@@ -45,7 +45,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 
 class Lane:
-    """Hashes of all substrings of 8, 16, 64 and 128 bytes of a buffer."""
+    """Hashes of all substrings of 8, 32, 64 and 128 bytes of a buffer."""
 
     def __init__(self, data: np.ndarray, seed: np.uint64):
         h = data.astype(np.uint64) * seed
@@ -61,10 +61,10 @@ class Lane:
         return mix(mix(self.of[128][at], self.of[64][at + 128]), self.of[8][at + 192])
 
     def core(self, at):
-        return mix(mix(self.of[128][at], self.of[64][at + 128]), self.of[8][at + 185])
+        return mix(self.of[128][at], self.of[64][at + WINDOW - BLOCK + 1 - 64])
 
     def union(self, at):
-        return mix(mix(self.of[128][at], self.of[64][at + 128]), self.of[16][at + 191])
+        return mix(mix(self.of[128][at], self.of[64][at + 128]), self.of[32][at + WINDOW + BLOCK - 1 - 32])
 
 
 class Buffer:
@@ -120,27 +120,13 @@ def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-class Lookup:
-    """Finds rows of 64-bit words by their first ``width`` words."""
-
-    def __init__(self, rows: np.ndarray, width: int):
-        self.rows, self.width = rows[np.lexsort(rows[:, :width].T[::-1])] if len(rows) else rows, width
-        self.key = self.fold(self.rows) if len(rows) else None
-        if len(rows):
-            order = np.argsort(self.key, kind="stable")
-            self.rows, self.key = self.rows[order], self.key[order]
-
-    def fold(self, rows):
-        key = rows[:, 0]
-        for i in range(1, self.width):
-            key = mix(key, rows[:, i])
-        return key
-
-    def find(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.key is None or not len(rows):
-            return np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
-        i = np.minimum(np.searchsorted(self.key, self.fold(rows)), len(self.key) - 1)
-        return (self.rows[i, : self.width] == rows).all(axis=1), i
+def fold(rows: np.ndarray) -> np.ndarray:
+    """One word for a row of digits. What a group hears back names its own rows
+    only, some hundred thousand, so 62 bits tell them apart."""
+    key = rows[:, 0]
+    for i in range(1, rows.shape[1]):
+        key = mix(key, rows[:, i])
+    return key
 
 
 def blocks(b: Buffer, shared: np.ndarray):
@@ -172,7 +158,7 @@ def pass_over(level: int, n_buckets: int):
             for n, items in zip(right.column("level").to_pylist(), right.column("items").to_pylist()):
                 fed[n].append(items)
         shared = np.sort(unpack(fed[1], 1)[:, 0])
-        status, windows = Lookup(unpack(fed[2], 4), 3), Lookup(unpack(fed[3], 2), 2)
+        status, windows = np.sort(unpack(fed[2], 1)[:, 0]), np.sort(unpack(fed[3], 1)[:, 0])
         sent, hits = [], {}
         for b in buffers(texts) if level == 1 or len(shared) else ():
             if level == 1:
@@ -184,14 +170,14 @@ def pass_over(level: int, n_buckets: int):
             if level == 2:
                 sent.append(capped(items))
                 continue
-            found, i = status.find(items)
-            says = np.where(found, status.rows[i, 3] if status.key is not None else 0, 0)[block].astype(np.int64)
+            key = fold(items) & ~U(3)
+            says = sum(k * member(key | U(k), status) for k in (1, 2, 3))[block]
             single = at[(says & 1) > 0]
             digest = np.column_stack([b.lane.window(single), b.second().window(single)])
             if level == 3:
                 sent.append(capped(digest))
                 continue
-            again = np.concatenate([at[(says & 2) > 0], single[windows.find(digest)[0]]])
+            again = np.concatenate([at[(says & 2) > 0], single[member(fold(digest), windows)]])
             if not len(again):
                 continue
             again = np.unique(again)
@@ -249,9 +235,10 @@ def meet(level: int):
         once = np.ones(len(rows), bool)
         once[1:] = (group[1:] != group[:-1]) | (src[1:] != src[:-1])
         rows, src = rows[once], src[once]
+        told = rows[:, 0] if level == 1 else fold(rows) if level == 3 else fold(rows[:, :3]) & ~U(3) | rows[:, 3]
         edges = np.searchsorted(src, np.arange(len(blobs) + 1))
         keep = [i for i in range(len(blobs)) if edges[i] < edges[i + 1]]
-        return as_table(PACKED, level=[level] * len(keep), bucket=[0] * len(keep), pid=[pids[i] for i in keep], items=[rows[edges[i] : edges[i + 1]].tobytes() for i in keep])
+        return as_table(PACKED, level=[level] * len(keep), bucket=[0] * len(keep), pid=[pids[i] for i in keep], items=[told[edges[i] : edges[i + 1]].tobytes() for i in keep])
 
     return run
 
@@ -265,10 +252,10 @@ def remove_repeats(docs: DataFrame, groups: int | None = None) -> DataFrame:
     and ``spans``, the removed byte runs as start, end, start, end, ...
 
     ``groups``: how many groups of documents; a task holds one group's texts at
-    a time (default: four per shuffle partition)."""
+    a time (default: two per shuffle partition)."""
     spark = docs.sparkSession
     n = partitions(spark)
-    texts = grouped(docs.select("doc_id", "text"), groups or 4 * n, "doc_id").repartition(n, "pid")
+    texts = grouped(docs.select("doc_id", "text"), groups or 2 * n, "doc_id").repartition(n, "pid")
     of = texts.groupBy("pid")
 
     def shared(level: int, sent: DataFrame) -> DataFrame:
