@@ -258,12 +258,15 @@ def remove_repeats(docs: DataFrame, groups: int | None = None) -> DataFrame:
     texts = grouped(docs.select("doc_id", "text"), groups or 2 * n, "doc_id").repartition(n, "pid")
     of = texts.groupBy("pid")
 
+    buckets = max(1, n // 2)
+
     def shared(level: int, sent: DataFrame) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(meet(level), PACKED_DDL)
+        # dealt by group at once, so that later passes reuse the exchange
+        return sent.groupBy("bucket").applyInArrow(meet(level), PACKED_DDL).repartition(n, "pid")
 
-    first = shared(1, of.applyInArrow(pass_over(1, n), PACKED_DDL))
-    second = shared(2, of.cogroup(first.groupBy("pid")).applyInArrow(pass_over(2, n), PACKED_DDL))
+    first = shared(1, of.applyInArrow(pass_over(1, buckets), PACKED_DDL))
+    second = shared(2, of.cogroup(first.groupBy("pid")).applyInArrow(pass_over(2, buckets), PACKED_DDL))
     fed = first.unionByName(second)
-    third = shared(3, of.cogroup(fed.groupBy("pid")).applyInArrow(pass_over(3, n), PACKED_DDL))
+    third = shared(3, of.cogroup(fed.groupBy("pid")).applyInArrow(pass_over(3, buckets), PACKED_DDL))
     fed = fed.unionByName(third)
-    return of.cogroup(fed.groupBy("pid")).applyInArrow(pass_over(4, n), RESULT_DDL)
+    return of.cogroup(fed.groupBy("pid")).applyInArrow(pass_over(4, buckets), RESULT_DDL)
