@@ -7,14 +7,17 @@ pass visits the coordinates that no round has reached, so all are filled. Bands
 of ``ROWS`` coordinates name buckets; documents that share a bucket are
 compared on their full sets, and a link needs 100 * intersection >= 75 * union.
 
-No group is expanded into all its pairs. Texts with equal word sequences are
+No group is expanded into rows of pairs. Texts with equal word sequences are
 one class from the start. In a bucket, one pivot (the member that shares most
 buckets, so the centre of a group of copies) is compared with every other
-member. Where that leaves several components in a bucket, further members of
-the smaller components become pivots in turn, until every pair of the bucket is
-in one component, compared, or ruled out by the triangle inequality of the
-Jaccard distance. So a bucket of n near copies costs about n comparisons and
-loses no link. State between rounds is checkpointed in the shared folder.
+member: a bucket of n copies costs n comparisons. Where a bucket then still
+holds several components, its members go on to an exact search, less those that
+cannot have a link there: with s of a member's n shingles in any other member
+of such buckets, a link needs s >= 0.75 n. The search deals a bucket out in
+blocks of about ``BLOCK`` members, and a task, given two blocks, rules pairs
+out by component, by size, by s, and by the triangle inequality of the Jaccard
+distance to the pivot, counts the shingles that the others share, and returns
+links only. State between steps is checkpointed in the shared folder.
 
 Null, empty and blank texts have empty sets and stay alone. Texts under five
 words are one shingle. Repeated rows share a class; ``doc_id`` names a row, and
@@ -27,15 +30,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.common import U, as_table, ascii_words, mix, shingle_hashes, to_bytes, word_hashes
 
 WORDS = 5
 COORDS, ROWS = 128, 4
-#: Members that become pivots of a bucket in one of the later rounds.
-PIVOTS = 16
+#: Members of a bucket that one side of the exact search holds.
+BLOCK = 512
 _salt = np.random.default_rng(20240229).integers(1, 1 << 63, (2, COORDS), dtype=np.uint64)
 
 INFO = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -117,56 +120,102 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         state = now
 
 
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _search(t: pa.Table) -> pa.Table:
+    """Links between members of two blocks (or within one) that lie in different
+    components; as many as join the components."""
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    t = t.sort_by("rep")
+    rep, root, n = (t.column(c).to_numpy() for c in ("rep", "root", "n"))
+    far, block = t.column("distance").to_numpy(), t.column("block").to_numpy()
+    sets = t.column("items").combine_chunks()
+    ends = sets.offsets.to_numpy()
+    ends, items = ends - ends[0], sets.flatten().to_numpy()
+    s = np.diff(ends)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    x, y = left[:, None], right[None, :]
+    may = (root[x] != root[y]) & (np.abs(far[x] - far[y]) <= 0.25 + 1e-9) & (7 * np.minimum(s[x], s[y]) >= 3 * (n[x] + n[y]))
+    may &= (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
+    out = []
+    if may.any():
+        left, right, may = left[may.any(axis=1)], right[may.any(axis=0)], may[may.any(axis=1)][:, may.any(axis=0)]
+        take = lambda side: (np.concatenate([items[ends[k] : ends[k + 1]] for k in side]), np.repeat(np.arange(len(side)), s[side]))
+        h, of = take(right)
+        order = np.argsort(h, kind="stable")
+        h, of = h[order], of[order]
+        both = np.zeros(may.shape, np.int64)
+        for k, m in enumerate(left):
+            mine = items[ends[m] : ends[m + 1]]
+            lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
+            c = hi - lo
+            at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)
+            both[k] = np.bincount(of[at], minlength=len(right))
+        linked = may & (100 * both >= 75 * (n[left][:, None] + n[right][None, :] - both))
+        own: dict[int, int] = {}
+
+        def find(v):
+            while own.setdefault(v, v) != v:
+                v = own[v]
+            return v
+
+        for k, m in zip(*np.nonzero(linked)):
+            a, b = find(root[left[k]]), find(root[right[m]])
+            if a != b:
+                own[a] = b
+                out.append(sorted((int(rep[left[k]]), int(rep[right[m]]))))
+    return as_table(LINKS, a=[x[0] for x in out], b=[x[1] for x in out])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: n_shingles, component_id (the
-    least doc_id that links reach), kept and n_links, the links that were found
-    from the row's word sequence to others."""
+    least doc_id that links reach) and kept (doc_id is component_id)."""
     docs = docs.select("doc_id", "text")
     info = docs.mapInArrow(_info, INFO_DDL).checkpoint()
     reps = info.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     banded = reps.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = banded.join(shared, "key").checkpoint()
-    score = members.groupBy("rep").agg(F.sum("n").alias("score"))
-    members = members.join(score, "rep")
-    pivot = members.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("pivot"))
+    score = members.groupBy("rep").agg(F.sum("size").alias("score"))
+    scored = members.join(score, "rep")
+    pivot = scored.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("pivot"))
     members = members.join(pivot, "key").checkpoint()
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, items array<bigint>").dropDuplicates(["doc_id"]).checkpoint()
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-        two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-        both = pairs.join(two, "b").join(one, "a").withColumn("both", F.size(F.array_intersect("x", "y")).cast("bigint"))
-        both = both.select("a", "b", "both", (F.size("x") + F.size("y") - F.col("both")).alias("any"))
-        return both.select("a", "b", (100 * F.col("both") >= 75 * F.col("any")).alias("linked"), (1 - F.col("both") / F.col("any")).alias("distance")).checkpoint()
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, items array<bigint>")
+    sets = sets.groupBy("doc_id").agg(F.first("items").alias("items")).checkpoint()
 
     a, b = F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")
-    known = compared(members.where("rep <> pivot").select(a, b).distinct())
-    away = members.where("n > 2").select("*", a, b).join(known.select("a", "b", "distance"), ["a", "b"], "left")
-    away = away.select("key", "rep", "score", "pivot", F.coalesce("distance", F.lit(0.0)).alias("distance")).checkpoint()
-    used = away.select("key", F.col("pivot").alias("rep")).distinct()
-    while True:
-        roots = components(known.where("linked")).checkpoint()
-        of = away.join(roots.withColumnRenamed("v", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        of = of.join(mixed, "key", "left_semi").checkpoint()
-        largest = of.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-        rest = of.join(largest, "key").where("root <> largest").join(used, ["key", "rep"], "left_anti")
-        order = Window.partitionBy("key").orderBy(F.desc("score"), "rep")
-        chosen = rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).checkpoint()
-        if chosen.isEmpty():
-            break
-        used = used.unionByName(chosen.select("key", "rep")).checkpoint()
-        p = chosen.select("key", F.col("rep").alias("p"), F.col("root").alias("p_root"), F.col("distance").alias("p_distance"))
-        pairs = p.join(of, "key").where((F.col("p_root") != F.col("root")) & (F.abs(F.col("p_distance") - F.col("distance")) <= 0.25 + 1e-9))
-        pairs = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-        known = known.unionByName(compared(pairs)).checkpoint()
-
-    links = known.where("linked")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = reps.select("digest", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("digest", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    pairs = members.where("rep <> pivot").select(a, b).distinct()
+    one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    known = pairs.join(two, "b").join(one, "a").withColumn("both", F.size(F.array_intersect("x", "y")).cast("bigint"))
+    known = known.select("a", "b", "both", (F.size("x") + F.size("y") - F.col("both")).alias("any"))
+    known = known.select("a", "b", (100 * F.col("both") >= 75 * F.col("any")).alias("linked"), (1 - F.col("both") / F.col("any")).alias("distance")).checkpoint()
+    links = known.where("linked").select("a", "b")
+    roots = components(links).checkpoint()
+
+    of = members.where("size > 2").join(roots.withColumnRenamed("v", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    of = of.join(mixed, "key").checkpoint()
+    open_ = of.select(F.col("rep").alias("doc_id")).distinct()
+    each = sets.join(open_, "doc_id").select(F.col("doc_id").alias("rep"), F.size("items").cast("bigint").alias("n"), F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count("*").alias("of")).where("of > 1").select("item")
+    alike = each.join(often, "item").groupBy("rep", "n").agg(F.collect_list("item").alias("items")).where("4 * size(items) >= 3 * n").checkpoint()
+
+    # the pivot is compared with all; what is left of a bucket matters while it
+    # holds two components
+    of = of.where("rep <> pivot").select("*", a, b).join(known.select("a", "b", "distance"), ["a", "b"]).join(alike.select("rep"), "rep", "left_semi")
+    still = of.groupBy("key").agg(F.count("*").alias("left"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    of = of.join(still.select("key", "left"), "key").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
+    of = of.select("key", "rep", "root", "distance", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    of = of.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    found = of.join(alike, "rep").groupBy("key", "i", "j").applyInArrow(_search, "a bigint, b bigint")
+    links = links.unionByName(found.distinct()).distinct().checkpoint()
+
+    roots = components(links)
+    named = reps.select("digest", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = info.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
