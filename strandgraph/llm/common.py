@@ -29,7 +29,7 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Memo of 64-bit word hashes, emptied when it reaches ``bound`` words."""
 
-    bound = 1_000_000
+    bound = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
