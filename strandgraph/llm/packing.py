@@ -28,7 +28,7 @@ from strandgraph.llm.common import as_table, grouped, partitions
 LENGTH = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 700_000
+WORDS_KEPT = 900_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -37,48 +37,110 @@ PACKED_DDL = PIECES_DDL + ", sequence_id bigint, offset bigint"
 _SPACES = str.maketrans("\n\t\r", "   ")
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class Codes(dict):
+    """Numbers of words; ``new`` gathers those that have no ids yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
+
+
 class WordTokenizer:
-    """Ids of texts through a memo of words, emptied at ``WORDS_KEPT`` words."""
+    """Ids of texts through a memo of words, emptied at ``WORDS_KEPT`` words.
+
+    The vocabulary lower-cases, so Latin-1 texts are lower-cased first and more
+    words are alike. Letters and what follows them are tokenised apart, so a
+    word with a closing "," or "." is put together from its parts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
+        self.closing = {c: np.array(self.ids_of(c), np.uint32) for c in ",."}
+        vocabulary = self.of.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
+    def ids_of(self, text: str) -> list[int]:
+        return self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def clear(self):
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.at, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def learn(self, words: list[str]):
-        for part in range(0, len(words), 4096):
-            some = words[part : part + 4096]
-            e = self.of.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids, n = np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
-            first = len(self.code)
-            while first + len(some) > len(self.at):
-                self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.at[first : first + len(some)] = self.used + np.cumsum(n) - n
-            self.n[first : first + len(some)] = n
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.code.update(zip(some, range(first, first + len(some))))
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.translate(_SPACES).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
+    def put(self, codes: np.ndarray, ids: np.ndarray, n: np.ndarray):
+        while len(self.code) > len(self.at):
+            self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.at[codes], self.n[codes] = self.used + np.cumsum(n) - n, n
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def learn(self):
+        """Ids of the new words: of those of letters from one string, by the
+        ends of words in it."""
+        plain, closed, other = [], {c: [] for c in self.closing}, []
+        for w in self.code.new:
+            if w.islower() and w.isalpha():
+                plain.append(w)
+            elif w[-1:] in self.closing and w.islower() and w[:-1].isalpha():
+                closed[w[-1]].append(w)
+                if w[:-1] not in self.code:
+                    self.code[w[:-1]] = len(self.code)
+                    plain.append(w[:-1])
+            else:
+                other.append(w)
+        self.code.new.clear()
+        code = self.code
+        numbers = lambda words: np.fromiter(map(code.__getitem__, words), np.int64, len(words))
+        for part in range(0, len(plain), 512):
+            some = plain[part : part + 512]
+            ids = np.array(self.ids_of(" ".join(some)), np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            self.put(numbers(some), ids, np.diff(ends, prepend=-1))
+        for w in other:
+            ids = np.array(self.ids_of(w), np.uint32)
+            self.put(numbers([w]), ids, np.array([len(ids)]))
+        for c, own in closed.items():
+            if own:
+                base = numbers([w[:-1] for w in own])
+                n, more = self.n[base], len(self.closing[c])
+                ids = np.empty(n.sum() + more * len(own), np.uint32)
+                starts = np.cumsum(n + more) - n - more
+                ids[_ragged(starts, n)] = self.ids[_ragged(self.at[base], n)]
+                ids[_ragged(starts + n, np.full(len(own), more))] = np.tile(self.closing[c], len(own))
+                self.put(numbers(own), ids, n + more)
+
+    def split(self, text: str) -> list[str]:
         try:
-            code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(self.code) > WORDS_KEPT:
-                self.clear()
-            self.learn(list(dict.fromkeys(w for w in words if w not in self.code)))
-            code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        n = self.n[code]
-        ends = np.cumsum(n)
-        return self.ids[np.arange(ends[-1]) + np.repeat(self.at[code] - ends + n, n)]
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return (text.translate(_SPACES) if "\t" in text or "\r" in text else text.replace("\n", " ")).split(" ")
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.code) > WORDS_KEPT:
+            self.clear()
+        code = self.code
+        lists = [self.split(t) for t in texts]
+        codes = [np.fromiter(map(code.__getitem__, words), np.int64, len(words)) for words in lists]
+        if code.new:
+            self.learn()
+        return [self.ids[_ragged(self.at[c], self.n[c])] for c in codes]
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -90,8 +152,9 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
         tokenizer = WordTokenizer(path or public_tokenizers.path(VOCABULARY))
         for b in batches:
             out = {f.name: [] for f in PIECES}
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = np.append(tokenizer.encode(text) if text else np.zeros(0, np.uint32), np.uint32(END)).astype("<u4")
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokenizer.encode_batch(texts)):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), length)):
                     part = ids[start : start + length]
                     for name, v in zip(out, (doc_id, k, start, len(part), zlib.crc32(part))):
