@@ -16,6 +16,8 @@ own. Ties go to the lower doc_id and piece. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from bisect import bisect_right
 
@@ -28,12 +30,16 @@ from strandgraph.llm.common import as_table, grouped, partitions
 LENGTH = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 900_000
+WORDS_KEPT = 800_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PACKED_DDL = PIECES_DDL + ", sequence_id bigint, offset bigint"
+#: Byte-level vocabularies write bytes that are no printable Latin-1 character as
+#: the characters from 256 on, in order; the space between words is kept.
+_UNPRINTABLE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_UNPRINTABLE) if b != 32}
 _SPACES = str.maketrans("\n\t\r", "   ")
 
 
@@ -66,6 +72,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
+        # for words that are lower-case letters already: the same model without
+        # normaliser and expressions, which then have nothing to do
+        bare = json.loads(self.of.to_str())
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.closing = {c: np.array(self.ids_of(c), np.uint32) for c in ",."}
         vocabulary = self.of.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -75,6 +86,14 @@ class WordTokenizer:
     def ids_of(self, text: str) -> list[int]:
         return self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def bare_ids(self, words: list[str]) -> list[int]:
+        text = " ".join(words)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.ids_of(text)
+        return self.bare.encode_batch_fast([text.encode().decode("latin-1").translate(BYTE_LETTERS)], add_special_tokens=False)[0].ids
+
     def clear(self):
         self.code = Codes()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
@@ -108,7 +127,7 @@ class WordTokenizer:
         numbers = lambda words: np.fromiter(map(code.__getitem__, words), np.int64, len(words))
         for part in range(0, len(plain), 512):
             some = plain[part : part + 512]
-            ids = np.array(self.ids_of(" ".join(some)), np.uint32)
+            ids = np.array(self.bare_ids(some), np.uint32)
             ends = np.flatnonzero(self.ends[ids])
             self.put(numbers(some), ids, np.diff(ends, prepend=-1))
         for w in other:
@@ -143,13 +162,19 @@ class WordTokenizer:
         return [self.ids[_ragged(self.at[c], self.n[c])] for c in codes]
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each Python worker, so that its memo outlives a task."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """The pieces of every text: place, length and checksum of the ids."""
 
     def run(batches):
         import public_tokenizers
 
-        tokenizer = WordTokenizer(path or public_tokenizers.path(VOCABULARY))
+        tokenizer = tokenizer_of(path or public_tokenizers.path(VOCABULARY))
         for b in batches:
             out = {f.name: [] for f in PIECES}
             texts = [t or "" for t in b.column("text").to_pylist()]
