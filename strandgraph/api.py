@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph import schema as s
+from strandgraph.extract.files import KINDS
 from strandgraph.functions.patterns import checked
 from strandgraph.operators import build, coverage, graph, journal, paging, resolve, search
 from strandgraph.schema import GraphError
@@ -29,13 +30,20 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def hinted(name: str, out):
+    """Says how to go on where an answer is one page of several."""
+    if isinstance(out, dict) and out.get("has_more") and out.get("cursor"):
+        out["next_step"] = f"more rows: call {name} again with cursor='{out['cursor']}' and the same arguments"
+    return out
+
+
 def call(f):
     """Times and journals a call."""
 
     def run(self, **arguments):
         began, code, out = time.time(), None, None
         try:
-            out = f(self, **arguments)
+            out = hinted(f.__name__, f(self, **arguments))
             return out
         except GraphError as e:
             code = e.code
@@ -124,6 +132,15 @@ class Engine:
             raise GraphError("index_missing", f"'{project}' has no complete index")
         return build.Graph(v.get("files"), v.get("extracts"), v.get("nodes"), v.get("edges"))
 
+    def views(self, project: str) -> list[str]:
+        """Registers the snapshot as temporary views nodes, edges, files, and one
+        for each kind of fact, for SQL."""
+        g = self.open(project)
+        frames = {"nodes": g.nodes, "edges": g.edges, "files": g.files, **{k: g.facts(k) for k in KINDS}}
+        for name, df in frames.items():
+            df.createOrReplaceTempView(name)
+        return list(frames)
+
     @call
     def list_projects(self, limit=None, cursor=None):
         n, at = paging.clamp(limit, 50), paging.offset_of(cursor)

@@ -44,9 +44,13 @@ SYNTAX = {
 }
 ALIASES = {"jsx": "javascript", "tsx": "typescript"}
 
-KEYWORDS = frozenset("""if for while switch catch return else do case sizeof typeof instanceof new delete throw await yield defer go select match loop
-function func fn fun sub using lock fixed foreach unless until elsif when super assert synchronized try finally static_assert alignof decltype
-constructor import require in is as not and or with my our local""".split())
+KEYWORDS = frozenset("""if for while switch catch return else do case sizeof typeof instanceof new delete throw await yield
+function func fn fun super assert try finally constructor import require in is as not and or""".split())
+OWN_KEYWORDS = {
+    "go": frozenset("go defer select range map chan".split()), "rust": frozenset("match loop unsafe move".split()), "kotlin": frozenset("when".split()),
+    "csharp": frozenset("using lock fixed foreach nameof checked unchecked".split()), "java": frozenset("synchronized".split()), "cpp": frozenset("static_assert decltype alignof".split()),
+    "perl": frozenset("sub foreach unless until elsif my our local".split()), "dart": frozenset("with".split()),
+}
 MODIFIERS = frozenset("const noexcept override final volatile async sync throws virtual abstract external mutable where try".split())
 _ID = r"[A-Za-z_$][\w$]*"
 
@@ -85,6 +89,7 @@ class Reader:
             self.out.errors.append((1, len(self.lines)))
         self.match = self._brackets()
         self.scopes: list[list] = []  # [end token, label, name, is function, row]
+        self.words = KEYWORDS | OWN_KEYWORDS.get(self.family, frozenset())
         self.groups: dict[str, str] = {}
         self.defined: set[int] = set()
 
@@ -427,7 +432,7 @@ class Reader:
         while k >= 0:
             if self.tok(k) in ")]" and k in self.match:
                 k = self.match[k] - 1
-                if self.kind(k) == "id" and self.tok(k) not in KEYWORDS:
+                if self.kind(k) == "id" and self.tok(k) not in self.words:
                     k -= 1
                 elif self.tok(k) not in ")]":
                     break
@@ -451,7 +456,7 @@ class Reader:
         before, inside = self.tok(i - 1), self.inside()
         if close is None:
             return i + 1
-        if x not in KEYWORDS or x == "constructor" and inside == "type":
+        if x not in self.words or before in (".", "->", "?.") or x == "constructor" and inside == "type":
             if before not in (".", "->", "?.", "new", "return", "=", "(", ",", "await", "throw") and inside != "function":
                 made = self.definition(i, x, n, close, inside)
                 if made is not None:
@@ -467,7 +472,7 @@ class Reader:
         f = self.family
         if inside == "type" and not self.s.methods_bare or inside == "" and not self.s.functions_bare:
             return None
-        typed = self.kind(i - 1) == "id" and self.tok(i - 1) not in KEYWORDS or self.tok(i - 1) in (">", "*", "&", "]", "?", "~")
+        typed = self.kind(i - 1) == "id" and self.tok(i - 1) not in self.words or self.tok(i - 1) in (">", "*", "&", "]", "?", "~")
         constructor = inside == "type" and self.scopes and x == self.scopes[-1][2].split(".")[-1]
         owner = ""
         if f == "cpp" and self.tok(i - 1) == "::" and self.kind(i - 2) == "id":

@@ -38,7 +38,7 @@ def test_index_report(engine):
 
 def test_search_and_paging(engine):
     r = engine.search_graph(project="shop", name_pattern="order", limit=2)
-    assert r["total"] >= 3 and r["has_more"] and r["cursor"] == "2"
+    assert r["total"] >= 3 and r["has_more"] and r["cursor"] == "2" and "cursor='2'" in r["next_step"]
     again = engine.search_graph(project="shop", query="order.*", limit=2, cursor="2")
     assert not {x["qualified_name"] for x in r["results"]} & {x["qualified_name"] for x in again["results"]}
     assert engine.search_graph(project="shop", query="nothing_here")["note"]
@@ -75,6 +75,12 @@ def test_architecture_code_coverage(engine):
     assert g["nodes"] and all({e["src"], e["dst"]} <= {n["id"] for n in g["nodes"]} for e in g["edges"])
 
 
+def test_sql_views(engine, spark):
+    assert {"nodes", "edges", "calls"} <= set(engine.views("shop"))
+    q = "SELECT n.qualified_name FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.edge_type = 'CALLS' AND e.detail = 'recursive_self_call'"
+    assert [r[0] for r in spark.sql(q).collect()] == ["orders.app.repository.walk"]
+
+
 def test_changes_refresh_traces_records(engine, tree):
     assert engine.detect_changes(project="shop")["modified"] == 0
     write(tree, {"orders/app/extra.py": "def helper(x):\n    return x\n"})
