@@ -45,8 +45,8 @@ _SPACES = str.maketrans("\n\t\r", "   ")
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places start, start + 1, ... of each run, one run after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+    ends = np.cumsum(sizes, dtype=np.int32)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(starts - ends + sizes, sizes)
 
 
 class Codes(dict):
@@ -97,7 +97,7 @@ class WordTokenizer:
     def clear(self):
         self.code = Codes()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.at, self.n = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
 
     def put(self, codes: np.ndarray, ids: np.ndarray, n: np.ndarray):
         while len(self.code) > len(self.at):
@@ -140,12 +140,13 @@ class WordTokenizer:
                 ids = np.empty(n.sum() + more * len(own), np.uint32)
                 starts = np.cumsum(n + more) - n - more
                 ids[_ragged(starts, n)] = self.ids[_ragged(self.at[base], n)]
-                ids[_ragged(starts + n, np.full(len(own), more))] = np.tile(self.closing[c], len(own))
+                ids[_ragged(starts + n, np.full(len(own), more, np.int32))] = np.tile(self.closing[c], len(own))
                 self.put(numbers(own), ids, n + more)
 
     def split(self, text: str) -> list[str]:
         try:
-            text.encode("latin-1")
+            if not text.isascii():
+                text.encode("latin-1")
             text = text.lower()
         except UnicodeEncodeError:
             pass
@@ -156,7 +157,7 @@ class WordTokenizer:
             self.clear()
         code = self.code
         lists = [self.split(t) for t in texts]
-        codes = [np.fromiter(map(code.__getitem__, words), np.int64, len(words)) for words in lists]
+        codes = [np.fromiter(map(code.__getitem__, words), np.int32, len(words)) for words in lists]
         if code.new:
             self.learn()
         return [self.ids[_ragged(self.at[c], self.n[c])] for c in codes]
