@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.functions import paths
-from strandgraph.operators import coverage, graph, journal, paging, resolve, search
+from strandgraph.operators import coverage, graph, journal, mutate, paging, resolve, search
 from strandgraph.sources import views
 
 QUERIES: dict = {}
@@ -464,6 +465,71 @@ def page_assets(spark, d):
     return p.select("page_id", F.explode(tags).alias("t")).select("page_id", paths.shipped_asset(F.col("t")).alias("target")).where("target is not null")
 
 
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, gone AS (SELECT id FROM g_nodes WHERE file_path LIKE 'part/%3') SELECT edge_type, count(*) AS n FROM g_edges
+WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) GROUP BY 1 UNION ALL SELECT 'nodes', count(*) FROM g_nodes WHERE id NOT IN (SELECT id FROM gone)""")
+def remove_files(spark, d):
+    n, e = views.g_nodes(spark, d), views.g_edges(spark, d)
+    gone = n.where("file_path like 'part/%3'").select(F.col("file_path").alias("path")).distinct()
+    nodes, edges = mutate.remove_files(n, e, gone)
+    return edges.groupBy("edge_type").agg(F.count("*").alias("n")).unionByName(nodes.agg(F.lit("nodes").alias("edge_type"), F.count("*").alias("n")))
+
+
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT edge_type, count(*) AS n FROM g_edges WHERE NOT (edge_type IN ('CALLS', 'CALL_UNRESOLVED') AND src IN (SELECT id FROM g_nodes WHERE file_path LIKE 'orders/%1')) GROUP BY 1""")
+def clear_resolved(spark, d):
+    n, e = views.g_nodes(spark, d), views.g_edges(spark, d)
+    files = n.where("file_path like 'orders/%1'").select(F.col("file_path").alias("path")).distinct()
+    return mutate.clear_resolved(n, e, files).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {EDGES_SQL} SELECT edge_type, count(*) AS n FROM g_edges WHERE edge_type NOT IN ('CALLS', 'DEFINES') GROUP BY 1""")
+def clear_types(spark, d):
+    return mutate.clear_types(views.g_edges(spark, d), ["CALLS", "DEFINES"]).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE size END AS size FROM files UNION ALL SELECT 'new.txt', 7""")
+def upsert_files(spark, d):
+    f = views.files(spark, d)
+    new = f.where("doc_id % 5 = 0").select("path", F.lit(-1).cast("bigint").alias("size")).unionByName(spark.createDataFrame([("new.txt", 7)], "path string, size long"))
+    return mutate.upsert(f.select("path", "size"), new, "path")
+
+
+@query("""SELECT DISTINCT p_name AS name FROM part WHERE p_brand LIKE '%2' UNION SELECT DISTINCT 'new_' || p_name FROM part WHERE p_brand LIKE '%2' AND p_partkey % 2 = 0""")
+def touched_names(spark, d):
+    p = views.load(spark, d, "part").select(F.col("p_brand").alias("file_path"), F.col("p_name").alias("name"), "p_partkey")
+    after = p.where("p_partkey % 2 = 0").withColumn("name", F.concat(F.lit("new_"), "name"))
+    return mutate.touched_names(p, after, p.where("file_path like '%2'").select(F.col("file_path").alias("path")).distinct())
+
+
+@query("""WITH p AS (SELECT source || '/doc_' || doc_id AS file_path, 'f' || (doc_id % 50) AS callee, 'm.T' || (doc_id % 40) AS super, 'lib' || (doc_id % 30) AS spelling FROM documents)
+SELECT file_path FROM p WHERE callee IN ('f3', 'f7') OR super = 'm.T3' OR spelling = 'lib9' UNION SELECT 'changed.py'""")
+def affected_files(spark, d):
+    k = F.col("doc_id")
+    p = views.load(spark, d, "documents").select(F.concat("source", F.lit("/doc_"), k.cast("string")).alias("file_path"), F.concat(F.lit("f"), (k % 50).cast("string")).alias("callee_name"), F.concat(F.lit("m.T"), (k % 40).cast("string")).alias("supertype_name"), F.concat(F.lit("lib"), (k % 30).cast("string")).alias("candidate"))
+    names = spark.createDataFrame([("f3",), ("f7",), ("T3",)], "name string")
+    spelled = spark.createDataFrame([("lib9",)], "spelling string")
+    changed = spark.createDataFrame([("changed.py",)], "path string")
+    return coverage.affected(changed, p, p.withColumnRenamed("file_path", "from_file"), p, names, spelled)
+
+
+@query("""SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS from_unix, event_type AS tool, count(*) AS calls, count(*) FILTER (event_type = 'error') AS fail, CAST(sum(trunc(value)) AS BIGINT) AS duration_ms FROM events GROUP BY 1, 2""")
+def stream_tool_rates(spark, d):
+    """Tumbling windows by Structured Streaming, run until the input is read."""
+    from strandgraph.streaming import usage
+
+    plain = views.load(spark, d, "events")
+    stream = spark.readStream.schema(plain.schema).parquet(f"{d}/events.parque[t]")
+    at = F.timestamp_seconds(views.epoch(stream, "ts"))
+    stream = stream.select(at.alias("at"), F.col("event_type").alias("tool"), (F.col("event_type") != "error").alias("ok"), F.col("value").cast("bigint").alias("duration_ms"))
+    name = f"rates_{uuid.uuid4().hex}"
+    rates = usage.tool_rates(stream, "1 hour").drop("to_unix")
+    base = spark.sparkContext._jsc.sc().getCheckpointDir()
+    writer = rates.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    if base.isDefined():
+        writer = writer.option("checkpointLocation", f"{base.get()}/{name}")
+    writer.start().awaitTermination()
+    return spark.table(name)
+
+
 def queries():
     return dict(QUERIES)
 

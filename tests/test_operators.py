@@ -205,3 +205,12 @@ def test_extractors():
     assert x.d == [("Field", "u.Unit.Description"), ("Field", "u.Service.ExecStart"), ("Module", "u.Unit"), ("Module", "u.Service")]
     x = names("python", "p.py", "class A(:\n  def f(self):\n    pass\n")
     assert x.e and x.d == [("Class", "p.A"), ("Method", "p.A.f")]
+
+
+def test_answers_upgrade_unresolved_calls(spark):
+    """The narrowest callable or class around the answered line; the unresolved edge stays."""
+    e = spark.createDataFrame([(5, 1, 0, "CALL_UNRESOLVED", "run", 3)], "id long, src long, dst long, edge_type string, target_name string, line int")
+    n = spark.createDataFrame([(1, "Function", "a.py", 1, 9), (2, "Class", "b.py", 1, 40), (3, "Method", "b.py", 10, 20), (4, "Field", "b.py", 15, 15)], "id long, label string, file_path string, start_line int, end_line int")
+    a = spark.createDataFrame([(5, "b.py", 15)], "edge_id long, file_path string, line int")
+    r = resolve.apply_answers(e, a, n).collect()
+    assert [(x.src, x.dst, x.edge_type, x.source, x.confidence, x.line) for x in r] == [(1, 3, "CALLS", "lsp", 1.0, 3)]
