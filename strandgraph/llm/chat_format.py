@@ -26,47 +26,46 @@ START, BREAK, STOP = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
+    """Turns with ``key``, a conversation's name that is never null, so joins on
+    (key, segment) keep the partitions of the windows and groups before them."""
     turn = F.coalesce(F.col("turn").cast("bigint"), F.lit(-1).cast("bigint"))
-    t = conversations.select("conv_id", turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return t.withColumn("segment", F.floor(F.col("turn") / SEGMENT).cast("bigint"))
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit(""))
+    t = conversations.select("conv_id", key.alias("key"), turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    hashes = [F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(7), F.col("text"), F.col("role")).alias("b")]
+    return t.select("*", F.floor(F.col("turn") / SEGMENT).cast("bigint").alias("segment"), *hashes)
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
-    """(conv_id, segment, n_turns, first): the segments of the conversations that
-    are no snapshot of another; ``first`` is the number of the segment's first turn."""
-    t = _turns(conversations).select("conv_id", "segment", "turn", F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(7), F.col("text"), F.col("role")).alias("b"))
-    size = t.groupBy("conv_id", "segment").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("conv_id").orderBy("segment")
-    size = size.withColumn("first", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    same = lambda x, y: x["conv_id"].eqNullSafe(y["conv_id"]) & (x["segment"] == y["segment"])
-    s = size.alias("s")
-    t = t.join(s, same(t, size)).select(t["*"], "s.n", "s.first")
-    place = Window.partitionBy("conv_id", "segment").orderBy("turn", "a", "b")
-    t = t.withColumn("k", F.col("first") + F.row_number().over(place))
+    """(key, segment, conv_id, n_turns, first): the segments of the conversations
+    that are no snapshot of another; ``first`` counts the turns before one."""
+    t = _turns(conversations).select("conv_id", "key", "segment", "turn", "a", "b")
+    size = t.groupBy("key", "segment").agg(F.count("*").alias("n"), F.first("conv_id").alias("conv_id"))
+    order = Window.partitionBy("key").orderBy("segment")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    size = size.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    place = Window.partitionBy("key", "segment").orderBy("turn", "a", "b")
+    t = t.join(size.select("key", "segment", "first"), ["key", "segment"]).withColumn("k", F.col("first") + F.row_number().over(place))
     t = t.withColumn("a", F.xxhash64("k", "a")).withColumn("b", F.xxhash64("k", "b"))
-    upto = Window.partitionBy("conv_id", "segment").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("conv_id", "segment", "k", F.expr("bit_xor(a)").over(upto).alias("a"), F.expr("bit_xor(b)").over(upto).alias("b"))
+    upto = Window.partitionBy("key", "segment").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("key", "segment", "k", F.expr("bit_xor(a)").over(upto).alias("a"), F.expr("bit_xor(b)").over(upto).alias("b"))
     # the hashes at each segment's end, rolled over the segments before it
-    ends = t.groupBy("conv_id", "segment").agg(F.max("k").alias("k"), F.max_by("a", "k").alias("a"), F.max_by("b", "k").alias("b"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("conv_id", "segment", "k", "a", "b", F.coalesce(F.expr("bit_xor(a)").over(before), F.lit(0)).alias("a0"), F.coalesce(F.expr("bit_xor(b)").over(before), F.lit(0)).alias("b0"))
-    last = Window.partitionBy("conv_id")
-    ends = ends.withColumn("n_turns", F.max("k").over(last))
-    base = ends.select(F.col("conv_id").alias("c"), F.col("segment").alias("g"), "a0", "b0", "n_turns")
-    prefix = t.join(base, t["conv_id"].eqNullSafe(base["c"]) & (t["segment"] == base["g"])).where("k < n_turns")
-    prefix = prefix.select("k", F.col("a").bitwiseXOR(F.col("a0")).alias("a"), F.col("b").bitwiseXOR(F.col("b0")).alias("b")).distinct()
-    whole = ends.where("k = n_turns").select("conv_id", "k", F.col("a").bitwiseXOR(F.col("a0")).alias("a"), F.col("b").bitwiseXOR(F.col("b0")).alias("b"))
-    kept = whole.join(prefix, ["k", "a", "b"], "left_anti").groupBy("k", "a", "b").agg(F.min("conv_id").alias("kept_id"))
-    kept = kept.select("kept_id", F.col("k").alias("n_turns"))
-    return size.join(kept, size["conv_id"].eqNullSafe(kept["kept_id"])).select("conv_id", "segment", "n_turns", "first")
+    ends = t.groupBy("key", "segment").agg(F.max("k").alias("k"), F.max_by("a", "k").alias("a"), F.max_by("b", "k").alias("b"))
+    rolled = lambda c: F.coalesce(F.expr(f"bit_xor({c})").over(before), F.lit(0)).alias(f"{c}0")
+    ends = ends.select("*", rolled("a"), rolled("b"), F.max("k").over(Window.partitionBy("key")).alias("n_turns"))
+    whole_hash = [F.col(c).bitwiseXOR(F.col(f"{c}0")).alias(c) for c in "ab"]
+    base = ends.select("key", "segment", "a0", "b0", "n_turns")
+    prefix = t.join(base, ["key", "segment"]).where("k < n_turns").select("k", *whole_hash).distinct()
+    whole = ends.where("k = n_turns").select("key", "k", *whole_hash).join(size.select("key", "conv_id").distinct(), "key")
+    kept = whole.join(prefix, ["k", "a", "b"], "left_anti").groupBy("k", "a", "b").agg(F.min(F.struct("conv_id", "key")).alias("least"))
+    kept = kept.select("least.key", F.col("k").alias("n_turns"))
+    return size.join(kept, "key").select("key", "segment", "conv_id", "n_turns", "first")
 
 
 def rendered(conversations: DataFrame) -> DataFrame:
     """One row per segment of each maximal conversation: conv_id, segment,
     n_turns (of the conversation), first (turns before the segment), text."""
-    kept = maximal(conversations).select(F.col("conv_id").alias("c"), F.col("segment").alias("g"), "n_turns", "first")
-    t = _turns(conversations)
-    lines = t.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(7), F.col("text"), F.col("role")).alias("b"), "role", "text"))).alias("turns"))
-    lines = lines.join(kept, lines["conv_id"].eqNullSafe(kept["c"]) & (lines["segment"] == kept["g"]))
+    kept = maximal(conversations)
+    turns = _turns(conversations).select("key", "segment", "turn", "a", "b", "role", "text").join(kept.select("key", "segment"), ["key", "segment"], "left_semi")
+    lines = turns.groupBy("key", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "a", "b", "role", "text"))).alias("turns"))
     line = lambda x: F.concat(F.lit(START), x["role"], F.lit(BREAK), x["text"], F.lit(STOP))
-    return lines.select("conv_id", "segment", "n_turns", "first", F.array_join(F.transform("turns", line), "").alias("text"))
+    return lines.join(kept, ["key", "segment"]).select("conv_id", "segment", "n_turns", "first", F.array_join(F.transform("turns", line), "").alias("text"))
