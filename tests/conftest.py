@@ -22,6 +22,10 @@ def spark():
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "4g",
+        "spark.sql.ui.retainedExecutions": "5",
+        "spark.ui.retainedJobs": "20",
+        "spark.ui.retainedStages": "20",
+        "spark.sql.maxPlanStringLength": "50000",
         "spark.checkpoint.dir": f"{work}/checkpoints",
         "spark.sql.warehouse.dir": f"{work}/warehouse",
     }.items():

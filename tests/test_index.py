@@ -43,10 +43,10 @@ def write(root, tree):
 
 def indexed(spark, root, before=None):
     tree = repo.listing(spark, root)
-    tree = repo.with_content(repo.candidates(tree, repo.ignore_rules(tree))).cache()
-    files = repo.classified(tree).cache()
+    tree = repo.with_content(repo.candidates(tree, repo.ignore_rules(tree))).coalesce(2).checkpoint()
+    files = repo.classified(tree).coalesce(2).checkpoint()
     known = build.parse(files) if before is None else build.refreshed(files, before.files, before.extracts)
-    return build.build(files, known.cache(), manifests.discover(spark, tree), lambda _, df: df.coalesce(2).checkpoint())
+    return build.build(files, known.coalesce(2).checkpoint(), manifests.discover(spark, tree), lambda _, df: df.coalesce(2).checkpoint())
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -110,11 +110,9 @@ def test_no_orphans(g):
 
 
 STEPS = [
-    {"orders/app/repository.py": "class Base:\n    pass\n\n\ndef save_order(order):\n    return helper(order)\n"},
-    {"orders/app/extra.py": "def helper(x):\n    return x\n"},
     {"orders/app/extra.py": "def helper(x):\n    return x\n\n\ndef save_order(x):\n    pass\n"},
-    {"orders/app/extra.py": None},
-    {"web/src/orders.ts": None, "web/src/orders.js": "export function build(x) { return x; }\n"},
+    {"orders/app/extra.py": None, "orders/app/repository.py": "class Base:\n    pass\n\n\ndef save_order(order):\n    return helper(order)\n"},
+    {"web/src/orders.ts": None, "web/src/orders.js": "export function build(x) { return x; }\n", "inv/go.mod": None},
 ]
 
 
