@@ -84,7 +84,8 @@ def reach(starts: DataFrame, edges: DataFrame, way: str = OUT, depth: int = 3, t
     several searches apart."""
     key = [by] if by else []
     near, far = ("src", "dst") if way == OUT else ("dst", "src")
-    e = of_types(edges, types).where(F.col("dst") != UNRESOLVED).select(F.col(near).alias("id"), F.col(far).alias("other")).distinct()
+    # parallel edges are left in: making a level distinct is less than making all edges so
+    e = of_types(edges, types).where(F.col("dst") != UNRESOLVED).select(F.col(near).alias("id"), F.col(far).alias("other"))
     seen = starts.select(*key, "id").distinct().withColumn("hop", F.lit(0)).checkpoint()
     front = seen.drop("hop")
     for hop in range(1, depth + 1):
@@ -119,8 +120,8 @@ def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, types, labels=No
     """Nodes and edges around ``starts``, both ways, at most ``limit`` nodes:
     (id, hop) and (src, dst, edge_type) between them. Starts count first, then
     nodes by level and qualified name."""
-    e = of_types(edges, types).where(F.col("dst") != UNRESOLVED).select("src", "dst", "edge_type").distinct()
-    both = e.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other"))).distinct()
+    e = of_types(edges, types).where(F.col("dst") != UNRESOLVED).select("src", "dst", "edge_type")
+    both = e.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other")))
     allowed = nodes if labels is None else nodes.where(F.col("label").isin(*labels))
     allowed = allowed.select(F.col("id").alias("other"), "qualified_name")
     seen = starts.select("id").distinct().withColumn("hop", F.lit(0)).checkpoint()
@@ -137,7 +138,7 @@ def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, types, labels=No
         seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
     kept = seen.select("id")
     inside = e.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return seen, inside.select("src", "dst", "edge_type")
+    return seen, inside.select("src", "dst", "edge_type").distinct()
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, labels, types, limit: int = 220) -> DataFrame:
