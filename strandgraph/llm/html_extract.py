@@ -9,11 +9,13 @@ number. A node's importance is entropy-based: with m pages that show it,
     importance    (1 - GAMMA) * presentation + GAMMA * content,
 
 so a branch that says the same on most pages of its host tends to 0, and one
-that differs from page to page to 1. A node on one page has importance 1. Page
+that differs from page to page to 1. A node on one page has importance 1. Pages
+of a host with one text count once, so copies are no template. Page
 roles that markup states outright are fixed: navigation, footers, notices,
 adverts, forms and comments are 0, and an article and what is in it are 1, so
 copies of an article are never taken for a template. Branches under ``LOW``
-are cut from each page, as is all that stands outside the page's article or
+are cut from each page, other than html, body and branches that hold more than
+half of the page's text outside links, as is all that stands outside the page's article or
 main element, where it has one.
 
 Blocks are joined in page order by a line feed, white space in a block becomes
@@ -60,10 +62,11 @@ _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "inside", "kids", "text")
+    __slots__ = ("tag", "path", "noise", "inside", "link", "up", "kids", "text")
 
-    def __init__(self, tag, path, noise, inside):
-        self.tag, self.path, self.noise, self.inside, self.kids, self.text = tag, path, noise, inside, [], []
+    def __init__(self, tag, path, noise, inside, up=None):
+        self.tag, self.path, self.noise, self.inside, self.up, self.kids, self.text = tag, path, noise, inside, up, [], []
+        self.link = up is not None and (up.link or tag == "a")
 
 
 def host(url: str | None) -> str:
@@ -79,25 +82,51 @@ def opened(parent: Node, tag: str, attrs: str) -> Node:
     path = parent.path
     if path.count(">") < DEPTH:
         path = f"{path}>{tag}" + ("." + ".".join(sorted(set(names))) if names else "")
-    return Node(tag, path, noise, inside)
+    return Node(tag, path, noise, inside, parent)
+
+
+def above(node: Node):
+    """The node and its ancestors, without the root."""
+    while node.up is not None:
+        yield node
+        node = node.up
+
+
+def bulk(blocks) -> set[str]:
+    """Paths that hold more than half of the blocks' text outside links (of all
+    text, where all is links)."""
+    for plain in (True, False):
+        total, held = 0, {}
+        for node, text, n in blocks:
+            n = n if plain else len(text)
+            total += n
+            for path in {x.path for x in above(node)}:
+                held[path] = held.get(path, 0) + n
+        if total:
+            return {path for path, n in held.items() if 2 * n > total}
+    return set()
 
 
 def parse(html: str):
     """(text blocks with their open nodes, all nodes) of a page. A block is
-    [node, text parts]; nodes hold child sequences and own text."""
+    (node, text, characters outside links); nodes hold child sequences and own text."""
     root = Node("", "", False, False)
-    stack, blocks, nodes, part, at = [root], [], [], [], 0
+    stack, blocks, nodes, part, at, plain = [root], [], [], [], 0, 0
 
     def say(raw: str):
+        nonlocal plain
         if raw:
             part.append(raw)
             if not raw.isspace():
                 stack[-1].text.append(raw)
+                plain += 0 if stack[-1].link else len(raw)
 
     def end_block():
+        nonlocal plain
         if part:
-            blocks.append((stack[-1], "".join(part)))
+            blocks.append((stack[-1], "".join(part), plain))
             part.clear()
+            plain = 0
 
     find = _TOKEN.search
     while m := find(html, at):
@@ -146,41 +175,46 @@ def parse(html: str):
     return blocks, nodes
 
 
-STYLES = pa.schema([("host", pa.string()), ("path", pa.string()), ("content", pa.int64()), ("shape", pa.int64())])
-STYLES_DDL = "host string, path string, content bigint, shape bigint"
+STYLES = pa.schema([("host", pa.string()), ("path", pa.string()), ("page", pa.int64()), ("content", pa.int64()), ("shape", pa.int64())])
+STYLES_DDL = "host string, path string, page bigint, content bigint, shape bigint"
 
 
-def style_rows(html: str | None) -> list[tuple[str, int, int]]:
-    """(path, hash of text, hash of child sequence) of a page's style nodes,
-    without inline ones and those whose role is fixed."""
+def hash64(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def style_rows(html: str | None) -> list[tuple[str, int, int, int]]:
+    """(path, hash of the page's text, hash of text, hash of child sequence) of a
+    page's style nodes, without inline ones and those whose role is fixed."""
     seen: dict[str, tuple[list, list]] = {}
     blocks, nodes = parse(html or "")
+    blocks = [(node, " ".join(text.split())) for node, text, _ in blocks if not node.noise]
     for n in nodes:
         if not (n.noise or n.inside or n.tag in INLINE):
             seen.setdefault(n.path, ([], []))[1].extend(dict.fromkeys(n.kids))
     for node, text in blocks:
-        path = node.path
-        if not (node.noise or node.inside):
-            while path:
-                if path in seen:
-                    seen[path][0].append(text)
-                path = path.rpartition(">")[0]
-    h = lambda x: xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63)
-    return [(p, h(" ".join(" ".join(text).split())), h(" ".join(kids))) for p, (text, kids) in seen.items() if text]
+        if text and not node.inside:
+            for path in {x.path for x in above(node)} & seen.keys():
+                seen[path][0].append(text)
+    framed = any(node.inside for node, text in blocks if text)
+    page = hash64("\n".join(text for node, text in blocks if text and (node.inside or not framed)))
+    return [(p, page, hash64(" ".join(text)), hash64(" ".join(kids))) for p, (text, kids) in seen.items() if text]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, n_pages, importance) of the style nodes of each host."""
+    """(host, path, n_pages, importance) of the style nodes of each host; pages of
+    one host with one text are one page."""
 
     def run(batches):
         for b in batches:
             rows = [(host(u), *x) for u, h in zip(b.column("url").to_pylist(), b.column("html").to_pylist()) for x in style_rows(h)]
             yield from as_table(STYLES, **{f.name: [r[i] for r in rows] for i, f in enumerate(STYLES)}).to_batches()
 
-    each = pages.select("url", "html").mapInArrow(run, STYLES_DDL).groupBy("host", "path", "content", "shape").agg(F.count("*").alias("n"))
+    each = pages.select("url", "html").mapInArrow(run, STYLES_DDL).groupBy("host", "path", "page").agg(F.min(F.struct("content", "shape")).alias("v"))
+    each = each.select("host", "path", "v.content", "v.shape")
 
     def entropy(by: str) -> DataFrame:
-        c = each.groupBy("host", "path", by).agg(F.sum("n").alias("n"))
+        c = each.groupBy("host", "path", by).agg(F.count("*").alias("n"))
         # -sum p log p = log m - sum n log n / m
         s = c.groupBy("host", "path").agg(F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
         return s.withColumn(by, F.when(F.col("n_pages") > 1, 1 - F.col("s") / F.col("n_pages") / F.log("n_pages")).otherwise(1.0)).drop("s")
@@ -192,16 +226,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def text_of(html: str | None, cut: frozenset) -> str:
     blocks, nodes = parse(html or "")
     framed = any(n.inside and not n.noise for n in nodes)
+    safe = bulk([b for b in blocks if not b[0].noise]) if cut else ()
     out = []
-    for node, raw in blocks:
+    for node, raw, _ in blocks:
         if node.noise or (framed and not node.inside):
             continue
-        if cut and not node.inside:
-            path = node.path
-            while path and path not in cut:
-                path = path.rpartition(">")[0]
-            if path:
-                continue
+        if cut and not node.inside and any(x.path in cut and x.path not in safe and x.tag not in ("html", "body") for x in above(node)):
+            continue
         if text := " ".join(unescape(raw).split()):
             out.append(text)
     return "\n".join(out)

@@ -44,6 +44,22 @@ def test_salted_join_gives_the_same(llm, monkeypatch):
     assert sorted(h.extract(pages).collect()) == want
 
 
+def test_copies_are_no_template(llm):
+    """Equal rows, and a host of mostly copies, keep their texts without an article."""
+    from strandgraph.llm.html_extract import extract
+
+    page = '<html><body><div class="top">Our site</div><div class="body"><p>Story {i} has quite a few words</p><p>More {i}</p></div></body></html>'
+    rows = [(i, None, page.format(i="x")) for i in range(3)]
+    rows += [(100 + i, "http://e.example/", page.format(i="copy")) for i in range(70)] + [(200 + i, "http://e.example/", page.format(i=i)) for i in range(30)]
+    # copies beside a line that differs
+    rows += [(300 + i, "http://f.example/", page.format(i="same").replace("Our site", f"No {i}")) for i in range(20)]
+    out = {r.page_id: r.text for r in extract(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = lambda i: f"Story {i} has quite a few words\nMore {i}"
+    assert {out[i] for i in range(3)} == {"Our site\n" + story("x")}
+    assert {out[100 + i] for i in range(70)} == {story("copy")} and all(out[200 + i] == story(i) for i in range(30))
+    assert all(story("same").split("\n")[0] in out[300 + i] for i in range(20))
+
+
 @pytest.fixture(scope="module")
 def log(llm):
     turn = lambda c, *texts: [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
