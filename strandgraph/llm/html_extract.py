@@ -11,8 +11,8 @@ number. A node's importance is entropy-based: with m pages that show it,
 so a branch that says the same on most pages of its host tends to 0, and one
 that differs from page to page to 1. A node on one page has importance 1. Pages
 of a host with one text count once, so copies are no template. Page
-roles that markup states outright are fixed: navigation, footers, notices,
-adverts, forms and comments are 0, and an article and what is in it are 1, so
+roles that markup states outright, by tag, role or a whole class token, are
+fixed: navigation, footers, notices, adverts, forms and comments are 0, and an article and what is in it are 1, so
 copies of an article are never taken for a template. Branches under ``LOW``
 are cut from each page, other than html, body and branches that hold more than
 half of the page's text outside links, as is all that stands outside the page's article or
@@ -54,6 +54,9 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu
 breadcrumb breadcrumbs footer sidebar cookie cookies consent notice notices gdpr newsletter subscribe subscription popup modal
 overlay comment comments disqus share sharing social related recommended banner toolbar pagination pager skip login signup""".split())
+#: Tags whose class is never taken for a role, anywhere and inside an article.
+PLAIN = frozenset("html body main article".split())
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -78,7 +81,8 @@ def opened(parent: Node, tag: str, attrs: str) -> Node:
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if "=" in attrs else {}
     names = _WORD.findall(found.get("class", "") + " " + found.get("id", ""))
     inside = parent.inside or tag in ("article", "main") or found.get("role") in ("main", "article")
-    noise = parent.noise or tag in NOISE_TAGS or found.get("role") in NOISE_ROLES or not NOISE_WORDS.isdisjoint(names) or (tag == "header" and not parent.inside)
+    named = not (tag in PLAIN or (parent.inside and tag in PARTS)) and not NOISE_WORDS.isdisjoint(found.get("class", "").split())
+    noise = parent.noise or tag in NOISE_TAGS or found.get("role") in NOISE_ROLES or named or (tag == "header" and not parent.inside)
     path = parent.path
     if path.count(">") < DEPTH:
         path = f"{path}>{tag}" + ("." + ".".join(sorted(set(names))) if names else "")

@@ -60,6 +60,23 @@ def test_copies_are_no_template(llm):
     assert all(story("same").split("\n")[0] in out[300 + i] for i in range(20))
 
 
+@pytest.mark.parametrize("html", [
+    '<body class="has-sidebar"><p>text</p></body>',
+    '<body><div id="page" class="nav-open"><p>text</p></div></body>',
+    '<body><article class="post comment-open"><p>text</p></article></body>',
+    '<body class="modal"><main class="overlay"><p>text</p></main></body>',
+    '<article><section id="related-work" class="related"><p>text</p></section></article>',
+    '<article><h2 id="ad-hoc-networks" class="ad">text</h2></article>',
+    '<article><div id="skip-list"><p>text</p></div></article>',
+    '<article><p>text</p><div class="big ad">Buy</div><p class="sponsored">Buy</p></article>',
+])
+def test_words_in_names_drop_no_text(html):
+    """Only a whole class token is a stated role, and not on a page's frame."""
+    from strandgraph.llm.html_extract import text_of
+
+    assert text_of(html, frozenset()) == "text"
+
+
 @pytest.fixture(scope="module")
 def log(llm):
     turn = lambda c, *texts: [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
