@@ -10,13 +10,17 @@ number. A node's importance is entropy-based: with m pages that show it,
 
 so a branch that says the same on most pages of its host tends to 0, and one
 that differs from page to page to 1. A node on one page has importance 1. Pages
-of a host with one text count once, so copies are no template. Page
-roles that markup states outright, by tag, role or a whole class token, are
-fixed: navigation, footers, notices, adverts, forms and comments are 0, and an article and what is in it are 1, so
-copies of an article are never taken for a template. Branches under ``LOW``
-are cut from each page, other than html, body and branches that hold more than
-half of the page's text outside links, as is all that stands outside the page's article or
-main element, where it has one.
+of a host with one text count once, so copies are no template.
+
+Page roles that markup states outright, by tag, role or a whole class token,
+are fixed: navigation, footers, notices, adverts, forms and comments are 0. An
+article or main element is a prior only: with m pages, a node's importance i
+inside one becomes (PRIOR + m i) / (PRIOR + m), and m i / (PRIOR + m) outside it
+on a framed page, where articles hold at least half of the text; outside, a noise
+word in a class is believed too. So on few pages the element decides and on many
+the tree. Branches under ``LOW`` are cut from each page, other than html, body and
+branches that hold more than half of the page's (or its articles') text outside
+links.
 
 Blocks are joined in page order by a line feed, white space in a block becomes
 one space, and character references are decoded once. Null and empty pages,
@@ -42,6 +46,8 @@ from strandgraph.llm.common import as_table
 GAMMA = 0.9
 LOW = 0.35
 MIN_PAGES = 3
+#: Pages that an article's prior counts as.
+PRIOR = 6
 DEPTH = 12
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
@@ -65,10 +71,10 @@ _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "inside", "link", "up", "kids", "text")
+    __slots__ = ("tag", "path", "noise", "inside", "hint", "link", "up", "kids", "text")
 
-    def __init__(self, tag, path, noise, inside, up=None):
-        self.tag, self.path, self.noise, self.inside, self.up, self.kids, self.text = tag, path, noise, inside, up, [], []
+    def __init__(self, tag, path, noise, inside, hint=False, up=None):
+        self.tag, self.path, self.noise, self.inside, self.hint, self.up, self.kids, self.text = tag, path, noise, inside, hint, up, [], []
         self.link = up is not None and (up.link or tag == "a")
 
 
@@ -86,7 +92,8 @@ def opened(parent: Node, tag: str, attrs: str) -> Node:
     path = parent.path
     if path.count(">") < DEPTH:
         path = f"{path}>{tag}" + ("." + ".".join(sorted(set(names))) if names else "")
-    return Node(tag, path, noise, inside, parent)
+    hint = parent.hint or (tag not in PLAIN and not NOISE_WORDS.isdisjoint(_WORD.findall(found.get("class", ""))))
+    return Node(tag, path, noise, inside, hint, parent)
 
 
 def above(node: Node):
@@ -187,21 +194,38 @@ def hash64(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+def is_framed(blocks) -> bool:
+    """Whether articles hold at least half of the blocks' text outside links."""
+    inside = [n or len(text) for node, text, n in blocks if node.inside]
+    return bool(inside) and 2 * sum(inside) >= sum(inside) + sum(n for node, _, n in blocks if not node.inside)
+
+
+def branch(node: Node, framed: bool):
+    """(style node's name, element) of the elements that decide on a block: up to
+    the article for one inside, up to the root else. Names inside an article start
+    with "+", those outside it on a framed page with "-"."""
+    sign = "+" if node.inside else "-" if framed else ""
+    for x in above(node):
+        if x.inside != node.inside:
+            break
+        yield sign + x.path, x
+
+
 def style_rows(html: str | None) -> list[tuple[str, int, int, int]]:
-    """(path, hash of the page's text, hash of text, hash of child sequence) of a
+    """(name, hash of the page's text, hash of text, hash of child sequence) of a
     page's style nodes, without inline ones and those whose role is fixed."""
     seen: dict[str, tuple[list, list]] = {}
     blocks, nodes = parse(html or "")
-    blocks = [(node, " ".join(text.split())) for node, text, _ in blocks if not node.noise]
+    blocks = [(node, " ".join(text.split()), n) for node, text, n in blocks if not (node.noise or text.isspace())]
+    framed = is_framed(blocks)
     for n in nodes:
-        if not (n.noise or n.inside or n.tag in INLINE):
-            seen.setdefault(n.path, ([], []))[1].extend(dict.fromkeys(n.kids))
-    for node, text in blocks:
-        if text and not node.inside:
-            for path in {x.path for x in above(node)} & seen.keys():
-                seen[path][0].append(text)
-    framed = any(node.inside for node, text in blocks if text)
-    page = hash64("\n".join(text for node, text in blocks if text and (node.inside or not framed)))
+        if not (n.noise or n.tag in INLINE):
+            name, _ = next(branch(n, framed))
+            seen.setdefault(name, ([], []))[1].extend(dict.fromkeys(n.kids))
+    for node, text, _ in blocks:
+        for name in {name for name, _ in branch(node, framed)} & seen.keys():
+            seen[name][0].append(text)
+    page = hash64("\n".join(text for node, text, _ in blocks if node.inside or not framed))
     return [(p, page, hash64(" ".join(text)), hash64(" ".join(kids))) for p, (text, kids) in seen.items() if text]
 
 
@@ -227,15 +251,20 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return both.select("host", "path", "n_pages", (GAMMA * F.col("content") + (1 - GAMMA) * F.col("shape")).alias("importance"))
 
 
-def text_of(html: str | None, cut: frozenset) -> str:
-    blocks, nodes = parse(html or "")
-    framed = any(n.inside and not n.noise for n in nodes)
-    safe = bulk([b for b in blocks if not b[0].noise]) if cut else ()
+def text_of(html: str | None, ruled: frozenset) -> str:
+    """The page's text, where ``ruled`` has its host's style nodes to cut and, with
+    "-", those to keep outside an article."""
+    blocks, _ = parse(html or "")
+    blocks = [b for b in blocks if not (b[0].noise or b[1].isspace())]
+    framed = is_framed(blocks)
+    safe = bulk(blocks) | bulk([b for b in blocks if b[0].inside]) if ruled else ()
     out = []
     for node, raw, _ in blocks:
-        if node.noise or (framed and not node.inside):
-            continue
-        if cut and not node.inside and any(x.path in cut and x.path not in safe and x.tag not in ("html", "body") for x in above(node)):
+        if framed and not node.inside:
+            names = [name for name, x in branch(node, framed) if x.tag not in INLINE]
+            if node.hint or not names or not ruled.issuperset(names):
+                continue
+        elif ruled and any(name in ruled and x.path not in safe and x.tag not in ("html", "body") for name, x in branch(node, framed)):
             continue
         if text := " ".join(unescape(raw).split()):
             out.append(text)
@@ -245,8 +274,11 @@ def text_of(html: str | None, cut: frozenset) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` with ``text`` in the place of ``html``."""
     pages = pages.drop("text", "cut_paths", "host_key", "salt")
-    low = style_tree(pages).where((F.col("importance") < LOW) & (F.col("n_pages") >= MIN_PAGES))
-    cut = low.groupBy("host").agg(F.collect_set("path").alias("cut_paths")).withColumnRenamed("host", "host_key").checkpoint()
+    m, known = F.col("n_pages"), F.col("n_pages") * F.col("importance")
+    inside, outside = F.col("path").startswith("+"), F.col("path").startswith("-")
+    low = F.when(inside, (PRIOR + known) / (PRIOR + m) < LOW).when(outside, known / (PRIOR + m) >= LOW)
+    ruled = style_tree(pages).where(low.otherwise((F.col("importance") < LOW) & (m >= MIN_PAGES)))
+    cut = ruled.groupBy("host").agg(F.collect_set("path").alias("cut_paths")).withColumnRenamed("host", "host_key").checkpoint()
     size = cut.agg(F.sum(F.octet_length("host_key") + F.expr("aggregate(cut_paths, 0L, (a, p) -> a + length(p) + 16)"))).first()[0] or 0
     key = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern.replace("^", "(?i)^", 1), 1))
     pages = pages.withColumn("host_key", key)

@@ -77,6 +77,21 @@ def test_words_in_names_drop_no_text(html):
     assert text_of(html, frozenset()) == "text"
 
 
+def test_tree_decides_beside_and_in_an_article(llm):
+    """An article is a prior: text beside a teaser stays, a notice that all pages
+    repeat in the article goes."""
+    from strandgraph.llm.html_extract import extract
+
+    teaser = '<body><div class="x"><h2>Title {i}</h2><p>The main text of page {i} is long</p></div><article>Teaser {i}</article></body>'
+    notice = '<body><article><p>The main text of page {i} is long</p><div class="x">Read our paper</div></article><div class="y">Author {i}</div><div class="z">Imprint</div></body>'
+    rows = [(1, "http://t.example/", teaser.format(i=1))] + [(100 + i, "http://n.example/", notice.format(i=i)) for i in range(30)] + [(200, "http://few.example/", notice.format(i=1))]
+    rows += [(300 + i, "http://copies.example/", notice.format(i=0).replace("Author 0", f"Author {i}")) for i in range(30)]
+    out = {r.page_id: r.text for r in extract(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == "Title 1\nThe main text of page 1 is long\nTeaser 1"
+    assert all(out[100 + i] == f"The main text of page {i} is long\nAuthor {i}" for i in range(30))
+    assert {out[200], *(out[300 + i] for i in range(30))} == {f"The main text of page {i} is long\nRead our paper" for i in (0, 1)}
+
+
 @pytest.fixture(scope="module")
 def log(llm):
     turn = lambda c, *texts: [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
