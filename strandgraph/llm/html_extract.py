@@ -48,6 +48,7 @@ LOW = 0.35
 MIN_PAGES = 3
 #: Pages that an article's prior counts as.
 PRIOR = 6
+#: Elements of a path that are spelled; a rolling hash stands for those below.
 DEPTH = 12
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
@@ -71,11 +72,12 @@ _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "inside", "hint", "link", "up", "kids", "text")
+    __slots__ = ("tag", "path", "noise", "inside", "hint", "link", "depth", "up", "kids", "text")
 
     def __init__(self, tag, path, noise, inside, hint=False, up=None):
         self.tag, self.path, self.noise, self.inside, self.hint, self.up, self.kids, self.text = tag, path, noise, inside, hint, up, [], []
         self.link = up is not None and (up.link or tag == "a")
+        self.depth = 0 if up is None else up.depth + 1
 
 
 def host(url: str | None) -> str:
@@ -89,9 +91,10 @@ def opened(parent: Node, tag: str, attrs: str) -> Node:
     inside = parent.inside or tag in ("article", "main") or found.get("role") in ("main", "article")
     named = not (tag in PLAIN or (parent.inside and tag in PARTS)) and not NOISE_WORDS.isdisjoint(found.get("class", "").split())
     noise = parent.noise or tag in NOISE_TAGS or found.get("role") in NOISE_ROLES or named or (tag == "header" and not parent.inside)
-    path = parent.path
-    if path.count(">") < DEPTH:
-        path = f"{path}>{tag}" + ("." + ".".join(sorted(set(names))) if names else "")
+    path = f"{parent.path}>{tag}" + ("." + ".".join(sorted(set(names))) if names else "")
+    if parent.depth >= DEPTH:
+        spelled = parent.path if parent.depth == DEPTH else parent.path.rpartition(">")[0]
+        path = f"{spelled}>#{xxhash.xxh64_hexdigest(path.encode('utf-8', 'replace'))}"
     hint = parent.hint or (tag not in PLAIN and not NOISE_WORDS.isdisjoint(_WORD.findall(found.get("class", ""))))
     return Node(tag, path, noise, inside, hint, parent)
 

@@ -92,6 +92,16 @@ def test_tree_decides_beside_and_in_an_article(llm):
     assert {out[200], *(out[300 + i] for i in range(30))} == {f"The main text of page {i} is long\nRead our paper" for i in (0, 1)}
 
 
+def test_templates_below_many_elements(llm):
+    """What all pages repeat goes at any depth."""
+    from strandgraph.llm.html_extract import extract
+
+    page = "<div>" * 40 + "<div class='m'>Menu</div><div class='s'>Story {i} is the longest part</div>" + "</div>" * 40
+    rows = [(i, "http://g.example/", page.format(i=i)) for i in range(12)]
+    out = {r.page_id: r.text for r in extract(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Story {i} is the longest part" for i in range(12))
+
+
 @pytest.fixture(scope="module")
 def log(llm):
     turn = lambda c, *texts: [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
