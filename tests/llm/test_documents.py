@@ -351,3 +351,29 @@ def test_licenses(docs, none, llm):
     got = {r.doc_id: r.license for r in scan_licenses(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {**dict(enumerate(TEMPLATES)), 90: "CC-BY-NC-4.0", 91: "CC-BY-4.0"}
     assert scan_licenses(none).count() == 0
+
+
+def test_license_notices_as_published(llm):
+    """Numbered BSD clauses and LGPL notices, wrapped, in comments and in one line."""
+    import textwrap
+
+    from strandgraph.llm.license_scan import _DISCLAIMER, scan_licenses
+
+    must = "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    bsd = "Copyright (c) 2020, X\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form " + must
+    third = "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    texts = {"BSD-2-Clause": bsd + "\n\n" + _DISCLAIMER, "BSD-3-Clause": bsd + third + "\n\n" + _DISCLAIMER, "LGPL-3.0": lesser.format("3"), "LGPL-2.1": lesser.format("2.1")}
+    rows, want = [], {}
+    for name, t in texts.items():
+        wrapped = ["\n".join([*textwrap.wrap(x, 70), ""]) for x in t.split("\n\n")]
+        for form in (t, " ".join(t.split()), "\n".join(wrapped), "".join(" * " + line + "\n" for x in wrapped for line in x.split("\n"))):
+            want[len(rows)] = [name]
+            rows.append((len(rows), form))
+    for name, t in [("MIT", "This library is distributed under the MIT License"), ("MIT", "Copyright 2020 by X. Released under the MIT License"), (None, "This is not licensed under the MIT License."), (None, "Licensed under the Apache License, Version 1.1"), (None, "Licensed under GNU LGPL")]:
+        want[len(rows)] = [name] if name else []
+        rows.append((len(rows), t))
+    got = {i: [] for i in want}
+    for r in scan_licenses(llm.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append(r.license)
+    assert got == want
