@@ -377,3 +377,20 @@ def test_license_notices_as_published(llm):
     for r in scan_licenses(llm.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r.doc_id].append(r.license)
     assert got == want
+
+
+def test_license_sentences_in_long_lines(llm):
+    """A notice is found in a line or paragraph with other text, at its own place."""
+    from strandgraph.llm.license_scan import TEMPLATES, scan_licenses
+
+    said = {"MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "CC0-1.0": "Available under CC0 1.0.", "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3."}
+    said |= {n: TEMPLATES[n][1] for n in ("ISC", "MPL-2.0", "Unlicense", "BSD-3-Clause")}
+    rows = [(i, f"{prose(40, i)} and this is. {t} {prose(40, 90 + i)}") for i, t in enumerate(said.values())]
+    said["Apache-2.0"] = "Licensed under the Apache License, Version 2.0."
+    rows.append((len(rows), said["Apache-2.0"] + "\nThe nd " + prose(9, 1)))
+    rows.append((50, prose(30, 3) + ". " + said["MIT"] + " " + prose(30, 4) + ". " + said["AGPL-3.0"]))
+    found = scan_licenses(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.start, r.license, rows[min(r.doc_id, len(said))][1][r.start : r.end]) for r in found)
+    want = [(i, rows[i][1].index(t), n, t) for i, (n, t) in enumerate(said.items())]
+    want += [(50, rows[-1][1].index(said[n]), n, said[n]) for n in ("MIT", "AGPL-3.0")]
+    assert got == sorted(want)
