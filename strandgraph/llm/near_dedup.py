@@ -20,9 +20,11 @@ distance to the pivot, counts the shingles that the others share, and returns
 links only. State between steps is checkpointed in the shared folder.
 
 Null, empty and blank texts have empty sets and stay alone. Texts under five
-words are one shingle. Repeated rows share a class; ``doc_id`` names a row, and
-of rows with one doc_id and several texts the comparisons use one. Empty tables
-give empty results. Other columns are ignored.
+words are one shingle. Repeated rows share a class. Texts, not doc_ids, are
+compared, so rows that share a doc_id or have none are each compared by their own
+text; a class without a doc_id has no component_id. Of a class the row with the
+least doc_id (null last), then the least hash of text is kept. Empty tables give
+empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ COORDS, ROWS = 128, 4
 BLOCK = 512
 _salt = np.random.default_rng(20240229).integers(1, 1 << 63, (2, COORDS), dtype=np.uint64)
 
-INFO = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
-INFO_DDL = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
+INFO = pa.schema([("doc_id", pa.int64()), ("own", pa.binary()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+INFO_DDL = "doc_id bigint, own binary, n_shingles bigint, digest binary, bands array<bigint>"
 
 
 def shingle_set(text: str | None) -> tuple[np.ndarray, list[bytes]]:
@@ -86,9 +88,9 @@ def bands(s: np.ndarray) -> np.ndarray:
 def _info(batches):
     for batch in batches:
         out = {f.name: [] for f in INFO}
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        for doc_id, own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "own", "text"))):
             s, words = shingle_set(text)
-            row = (doc_id, len(s), xxhash.xxh3_128_digest(b" ".join(words)), bands(s)) if len(s) else (doc_id, 0, None, None)
+            row = (doc_id, own, len(s), xxhash.xxh3_128_digest(b" ".join(words)), bands(s)) if len(s) else (doc_id, own, 0, None, None)
             for k, v in zip(out, row):
                 out[k].append(v)
         yield from as_table(INFO, **out).to_batches()
@@ -170,10 +172,31 @@ def _search(t: pa.Table) -> pa.Table:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: n_shingles, component_id (the
-    least doc_id that links reach) and kept (doc_id is component_id)."""
-    docs = docs.select("doc_id", "text")
-    info = docs.mapInArrow(_info, INFO_DDL).checkpoint()
-    reps = info.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    least doc_id that links reach) and kept (the row stands for its class)."""
+    return classes(docs).drop("own")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The kept rows of ``docs``, rows of one doc_id and text once; rows that have
+    neither doc_id nor words are all kept."""
+    docs = docs.withColumn("own", own())
+    kept = classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("own").alias("kept_own"), (F.col("doc_id").isNull() & (F.col("n_shingles") == 0)).alias("alone")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("own").eqNullSafe(F.col("kept_own")))
+    out = out.withColumn("alone", F.when(F.col("alone"), F.monotonically_increasing_id()))
+    return out.dropDuplicates(["doc_id", "own", "alone"]).drop("kept_id", "kept_own", "own", "alone")
+
+
+def own():
+    """Names a text."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with ``own``, the hash of each row's text."""
+    docs = docs.select("doc_id", "text", own().alias("own"))
+    info = docs.mapInArrow(_info, INFO_DDL).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "own")).alias("first")
+    reps = info.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.first("bands").alias("bands"), first)
     banded = reps.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = banded.join(shared, "key").checkpoint()
@@ -182,8 +205,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivot = scored.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("pivot"))
     members = members.join(pivot, "key").checkpoint()
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, items array<bigint>")
+    wanted = members.select("rep").distinct().join(reps.select("rep", F.col("first.doc_id").alias("first_id"), F.col("first.own").alias("first_own")), "rep")
+    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("own") == F.col("first_own")))
+    sets = sets.select(F.col("rep").alias("doc_id"), "text").mapInArrow(_sets, "doc_id bigint, items array<bigint>")
     sets = sets.groupBy("doc_id").agg(F.first("items").alias("items")).checkpoint()
 
     a, b = F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")
@@ -215,7 +239,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = of.join(alike, "rep").groupBy("key", "i", "j").applyInArrow(_search, "a bigint, b bigint")
     links = links.unionByName(found.distinct()).distinct().checkpoint()
 
-    roots = components(links)
-    named = reps.select("digest", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = info.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
+    roots = components(links).withColumnRenamed("v", "rep").join(reps.select("rep", "first"), "rep").checkpoint()
+    least = roots.groupBy("root").agg(F.min("first").alias("least"))
+    named = reps.select("digest", "rep", "first").join(roots.select("rep", "root").join(least, "root"), "rep", "left").select("digest", F.coalesce("least", "first").alias("named"))
+    out = info.select("doc_id", "own", "n_shingles", "digest").join(named, "digest", "left")
+    kept = F.col("digest").isNull() | (F.col("doc_id").eqNullSafe(F.col("named.doc_id")) & (F.col("own") == F.col("named.own")))
+    return out.select("doc_id", "own", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("named.doc_id")).alias("component_id"), kept.alias("kept"))

@@ -33,3 +33,23 @@ def test_stages(llm, tmp_path):
     assert row.text.endswith(' [secret]"') and row.n_chars == len(row.text)
     out = p.run(llm, str(tmp_path))
     assert {x.doc_id for x in out.collect()} == left[3]
+
+
+def test_null_and_shared_ids_lose_no_text(llm, tmp_path):
+    """Near duplicates go by text, not by doc_id."""
+    import corpus_pipeline as p
+    from strandgraph.llm.near_dedup import near_duplicates
+
+    r = random.Random(2)
+    prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(1, a), (1, b), (1, b + " end"), (None, c), (None, c), (None, d), (2, d + " end"), (3, e), (3, e), (4, ""), (None, ""), (None, ""), (None, None), (5, b.upper())]
+    docs = llm.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda x: (str(x[0]), str(x[1]))
+    left = sorted(((x.doc_id, x.text) for x in p.near_duplicates(llm, docs, str(tmp_path)).collect()), key=key)
+    one_b = next(t for i, t in left if i == 1 and t != a)
+    assert one_b in (b, b + " end")
+    assert left == sorted([(1, a), (1, one_b), (None, c), (2, d + " end"), (3, e), (4, ""), (None, ""), (None, ""), (None, None)], key=key)
+    out = near_duplicates(docs).collect()
+    assert len(out) == len(rows) and all(x.kept is not None for x in out)
+    assert sorted(str(x.component_id) for x in out) == sorted(["1"] * 4 + ["None"] * 5 + ["2"] * 2 + ["3"] * 2 + ["4"])
