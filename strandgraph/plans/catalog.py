@@ -174,25 +174,25 @@ def symbol_candidates(spark, d):
 FROM g_nodes a JOIN g_edges e ON e.src = a.id AND e.edge_type = 'CONTAINS' JOIN g_nodes b ON b.id = e.dst AND b.label = 'Class'
 JOIN g_edges f ON f.src = b.id AND f.edge_type = 'DEFINES' JOIN g_nodes c ON c.id = f.dst
 JOIN g_edges g ON g.src = c.id AND g.edge_type = 'CALLS' JOIN g_nodes x ON x.id = g.dst WHERE a.label = 'Module' AND a.name LIKE 'NATION_1%'""")
-def path_pattern(spark, d):
+def path_pattern(spark, d, only="name like 'NATION_1%'"):
     n, e = views.g_nodes(spark, d), views.g_edges(spark, d)
     hops = [{"edge": "CONTAINS", "label": "Class"}, {"edge": "DEFINES", "direction": "out"}, {"edge": "CALLS"}]
-    out = graph.pattern(n.where("label = 'Module' and name like 'NATION_1%'"), n, e, hops)
+    out = graph.pattern(n.where("label = 'Module'").where(only), n, e, hops)
     return out.select(*[F.col(f"n{i}.qualified_name").alias(f"q{i}") for i in range(4)])
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT DISTINCT a.qualified_name AS callee, b.qualified_name AS caller FROM g_nodes a
 JOIN g_edges e ON e.dst = a.id AND e.edge_type = 'CALLS' JOIN g_nodes b ON b.id = e.src WHERE a.label = 'Interface' AND a.id % 10 = 3""")
-def inbound_pattern(spark, d):
+def inbound_pattern(spark, d, only="id % 10 = 3"):
     n, e = views.g_nodes(spark, d), views.g_edges(spark, d)
-    out = graph.pattern(n.where("label = 'Interface' and id % 10 = 3"), n, e, [{"edge": "CALLS", "direction": "in"}])
+    out = graph.pattern(n.where("label = 'Interface'").where(only), n, e, [{"edge": "CALLS", "direction": "in"}])
     return out.select(F.col("n0.qualified_name").alias("callee"), F.col("n1.qualified_name").alias("caller"))
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT a.id AS start, e.dst AS other, e.edge_type, count(*) AS n FROM g_nodes a JOIN g_edges e ON e.src = a.id
 WHERE a.label = 'Class' AND a.id % 7 = 0 AND e.dst <> 0 GROUP BY 1, 2, 3""")
-def neighbours(spark, d):
-    starts = views.g_nodes(spark, d).where("label = 'Class' and id % 7 = 0")
+def neighbours(spark, d, only="id % 7 = 0"):
+    starts = views.g_nodes(spark, d).where("label = 'Class'").where(only)
     return graph.neighbours(starts, views.g_edges(spark, d)).groupBy("start", "other", "edge_type").agg(F.count("*").alias("n"))
 
 
@@ -220,9 +220,9 @@ def trace_both_ways(spark, d):
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT a.qualified_name AS from_qualified_name, '' AS callee_name, e.line, 'unresolved' AS reason
 FROM g_edges e JOIN g_nodes a ON a.id = e.src WHERE e.edge_type = 'CALL_UNRESOLVED' AND a.id % 5 = 0""")
-def unresolved_calls(spark, d):
+def unresolved_calls(spark, d, only="id % 5 = 0"):
     n, e = views.g_nodes(spark, d), views.g_edges(spark, d).withColumns({"target_name": F.lit(None).cast("string"), "detail": F.lit(None).cast("string")})
-    return graph.unresolved_of(n.where("id % 5 = 0"), n, e)
+    return graph.unresolved_of(n.where(only), n, e)
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT id FROM g_nodes WHERE label = 'Module' AND id % 25 = 4),
@@ -230,10 +230,10 @@ b AS (SELECT src AS id, dst AS other FROM g_edges WHERE edge_type IN ('CONTAINS'
 one AS (SELECT DISTINCT other AS id FROM b JOIN s USING (id) WHERE other NOT IN (SELECT id FROM s)),
 two AS (SELECT DISTINCT other AS id FROM b JOIN one USING (id) WHERE other NOT IN (SELECT id FROM s) AND other NOT IN (SELECT id FROM one))
 SELECT id, 0 AS hop FROM s UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two""")
-def walk_nodes(spark, d):
+def walk_nodes(spark, d, only="id % 25 = 4"):
     _scratch(spark)
     n = views.g_nodes(spark, d)
-    return graph.walk(n.where("label = 'Module' and id % 25 = 4"), n, views.g_edges(spark, d), ["CONTAINS", "DEFINES"], None, 2, 1_000_000)[0]
+    return graph.walk(n.where("label = 'Module'").where(only), n, views.g_edges(spark, d), ["CONTAINS", "DEFINES"], None, 2, 1_000_000)[0]
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, e AS (SELECT * FROM g_edges WHERE edge_type = 'CALLS'), t AS (SELECT id, count(*) AS score FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
@@ -339,9 +339,9 @@ def coverage_scope(spark, d):
 @query(f"""WITH {FILES_SQL}, a AS (SELECT path, doc_id % 2 = 0 AS excluded FROM files WHERE doc_id % 3 = 0), k AS (SELECT * FROM files WHERE doc_id % 6 = 0)
 SELECT a.path, coalesce(k.status, CASE WHEN excluded THEN 'excluded' ELSE 'skipped' END) AS status, CASE WHEN k.path IS NULL THEN CASE WHEN excluded THEN 'gitignore' ELSE 'not_found' END ELSE k.reason END AS reason
 FROM a LEFT JOIN k ON k.path = a.path""")
-def classify_paths(spark, d):
+def classify_paths(spark, d, only="doc_id % 3 = 0"):
     f = views.files(spark, d).withColumns({"detail": F.lit(None).cast("string"), "language": F.lit(None).cast("string")})
-    asked = f.where("doc_id % 3 = 0").select("path", (F.col("doc_id") % 2 == 0).alias("excluded"), F.lit(False).alias("present"))
+    asked = f.where(only).select("path", (F.col("doc_id") % 2 == 0).alias("excluded"), F.lit(False).alias("present"))
     return coverage.classify_paths(asked, f.where("doc_id % 6 = 0")).select("path", "status", "reason")
 
 
@@ -391,10 +391,10 @@ def search_any_case(spark, d):
 
 @query(f"""WITH {FILES_SQL}, n AS (SELECT doc_id AS id, path, string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) AS b, CAST(doc_id % 3 + 1 AS INTEGER) AS s FROM files WHERE doc_id % 4 = 0)
 SELECT id, greatest(s - 2, 1) AS from_line, CAST(least(s + 3, len(b)) AS INTEGER) AS to_line, coalesce(array_to_string(list_slice(b, greatest(s - 2, 1), least(s + 3, len(b))), chr(10)), '') AS source FROM n""")
-def snippets(spark, d):
+def snippets(spark, d, only="doc_id % 4 = 0"):
     f = views.files(spark, d)
     start = (F.col("doc_id") % 3 + 1).cast("int")
-    n = f.where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.col("path").alias("qualified_name"), F.col("path").alias("file_path"), start.alias("start_line"), (start + 1).alias("end_line"))
+    n = f.where(only).select(F.col("doc_id").alias("id"), F.col("path").alias("qualified_name"), F.col("path").alias("file_path"), start.alias("start_line"), (start + 1).alias("end_line"))
     return search.snippet(f, n, 2).select("id", "from_line", "to_line", "source")
 
 
@@ -450,8 +450,8 @@ def day_window(spark, d):
 @query(f"""WITH {NODES_SQL}, o AS (SELECT 'order_' || l_orderkey AS caller, p_brand || '.' || p_type || '.' || p_name AS callee, count(*) AS c FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 20 = 1 GROUP BY 1, 2)
 SELECT caller, callee, a.id AS src, CASE WHEN b.n = 1 THEN b.id END AS dst, 'observed ' || c || ' time(s)' AS detail FROM o LEFT JOIN (SELECT name, min(id) AS id FROM g_nodes GROUP BY name HAVING count(*) = 1) a ON a.name = o.caller
 LEFT JOIN (SELECT qualified_name, min(id) AS id, count(*) AS n FROM g_nodes GROUP BY 1) b ON b.qualified_name = o.callee""")
-def trace_links(spark, d):
-    line, part = views.load(spark, d, "lineitem").where("l_orderkey % 20 = 1"), views.load(spark, d, "part")
+def trace_links(spark, d, only="l_orderkey % 20 = 1"):
+    line, part = views.load(spark, d, "lineitem").where(only), views.load(spark, d, "part")
     seen = line.join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("caller"), F.concat_ws(".", "p_brand", "p_type", "p_name").alias("callee"))
     seen = seen.groupBy("caller", "callee").agg(F.count("*").alias("count"))
     return resolve.link_traces(seen, views.g_nodes(spark, d)).select("caller", "callee", "src", "dst", "detail")
@@ -530,6 +530,24 @@ def stream_tool_rates(spark, d):
     return spark.table(name)
 
 
+#: Queries whose SQL asks for a part of the starts or rows, and the part; each has
+#: a form ``<name>_all`` over all of them, with the SQL less the part.
+PARTS = {
+    "path_pattern": " AND a.name LIKE 'NATION_1%'",
+    "inbound_pattern": " AND a.id % 10 = 3",
+    "neighbours": " AND a.id % 7 = 0",
+    "unresolved_calls": " AND a.id % 5 = 0",
+    "walk_nodes": " AND id % 25 = 4",
+    "classify_paths": " WHERE doc_id % 3 = 0",
+    "snippets": " WHERE doc_id % 4 = 0",
+    "trace_links": " WHERE l_orderkey % 20 = 1",
+}
+for _name, _part in PARTS.items():
+    assert SQL[_name].count(_part) == 1, _name
+    QUERIES[f"{_name}_all"] = lambda spark, d, _part_query=QUERIES[_name]: _part_query(spark, d, "true")
+    SQL[f"{_name}_all"] = SQL[_name].replace(_part, "")
+
+
 def queries():
     return dict(QUERIES)
 

@@ -1,0 +1,20 @@
+"""Queries over a part of the starts have a form over all of them."""
+
+import os
+
+import duckdb
+import pytest
+
+from strandgraph.plans import catalog
+from test_oracle import SF, TABLES
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", "path_pattern inbound_pattern neighbours unresolved_calls walk_nodes classify_paths snippets trace_links".split())
+def test_all_starts(name):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    part, whole = (c.sql(f"SELECT count(*) FROM ({catalog.oracle_sql()[n]})").fetchall()[0][0] for n in (name, f"{name}_all"))
+    print(name, part, whole)
+    assert f"{name}_all" in catalog.queries() and whole > part
