@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -78,11 +80,16 @@ def partitions(spark: SparkSession) -> int:
 
 def prepare(spark: SparkSession, rows_per_batch: int = 512) -> SparkSession:
     """Ships this package to the executors, bounds Arrow batches, and makes sure
-    that checkpoint() has a folder (the session's own, where it names one)."""
+    that checkpoint() has a folder: the session's own, or a temporary one where
+    all of Spark runs in this process. Elsewhere ``spark.checkpoint.dir`` has to
+    name a folder that the executors share."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandgraph-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandgraph-"))
     if getattr(sc, "_strandgraph_shipped", False):
         return spark
     root = Path(__file__).resolve().parents[2]
@@ -96,6 +103,43 @@ def prepare(spark: SparkSession, rows_per_batch: int = 512) -> SparkSession:
     return spark
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries that end in here leave no shuffle files."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+class Scratch:
+    """Tables of one run in the shared checkpoint folder. Each cuts lineage where
+    it is written and is deleted once what follows from it is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        with shuffles_freed(self.spark):
+            df.write.parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables; names may be patterns (``step*``)."""
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            fs = path.getFileSystem(sc.hadoopConfiguration())
+            for found in fs.globStatus(path) or ():
+                fs.delete(found.getPath(), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,6 +150,11 @@ def grouped(df: DataFrame, n: int, *key: str) -> DataFrame:
     return df.withColumn("pid", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
 
 
+def number_of_groups(spark: SparkSession, rows: int = 0, rows_per_group: int = 100_000) -> int:
+    """Groups for packed shuffles: two per shuffle partition, more for many rows."""
+    return max(2 * partitions(spark), -(-rows // rows_per_group))
+
+
 def pack(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray):
     """Yields (bucket, bytes of the rows' columns side by side)."""
     if not len(bucket):

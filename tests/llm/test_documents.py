@@ -142,6 +142,40 @@ def test_near_duplicates_around_a_centre(llm):
     assert all(got[100 + i].component_id == 100 + i for i in range(20))
 
 
+def test_exact_search_of_mixed_buckets(llm, monkeypatch):
+    """One bucket of 46 members in blocks of four: members that link to their
+    neighbours but not to the pivot are joined, others are not."""
+    from strandgraph.llm import near_dedup
+    from strandgraph.llm.common import Scratch, number_of_groups
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    groups, scratch = number_of_groups(llm), Scratch(llm, "test")
+    sets = {i: np.arange(10 * i, 10 * i + 100, dtype=np.uint64) for i in range(40)}
+    sets |= {40 + i: np.arange(5000 + 40 * i, 5100 + 40 * i, dtype=np.uint64) for i in range(6)}
+    pid = lambda i: int(near_dedup.group_in(np.array([i]), groups)[0])
+    met = [(pid(i), i, 100, None, None, [], [], [], [7, 8], [0, 0]) for i in sets]
+    full = [(pid(i), i, bytearray(x.tobytes()), [], [], []) for i, x in sets.items()]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    known = [(0, i, False, 1 - jaccard(sets[0], x)) for i, x in sets.items() if i and i % 3]
+    state = near_dedup.parents(llm.createDataFrame([], "a long, b long"), scratch, "tree", groups)
+    frames = (llm.createDataFrame(r, d) for r, d in ((met, near_dedup.MET_DDL), (full, near_dedup.SETS_DDL), (known, near_dedup.KNOWN_DDL)))
+    found = near_dedup.further_links(scratch, *frames, state, groups)
+    got = {r.v: r.root for r in near_dedup.components(found).collect()}
+    assert got == {i: 1 for i in range(1, 40)}
+
+
+def test_comparisons_in_parts():
+    from strandgraph.llm import near_dedup
+
+    sets = {i: np.arange(i, i + 100, dtype=np.uint64) for i in range(50)}
+    rows = [(i, x.tobytes(), [0] if i else [], [8] if i else [], [] if i else [8]) for i, x in sets.items()] * 2
+    batch = near_dedup.pa.record_batch([near_dedup.pa.array(x) for x in zip(*rows)], ["rep", "items", "pivots", "parts", "serves"])
+    t = near_dedup.pa.Table.from_batches(near_dedup.deal(1)([batch]))
+    assert len({p for p in t.column("part").to_pylist()}) == 8
+    got = {r["rep"]: (r["linked"], round(r["distance"], 9)) for r in near_dedup._compare(t).to_pylist()}
+    assert got == {i: (100 * (100 - i) >= 75 * (100 + i), round(1 - (100 - i) / (100 + i), 9)) for i in range(1, 50)}
+
+
 def test_sketch_estimates_similarity():
     from strandgraph.llm.near_dedup import COORDS, sketch
 
@@ -160,6 +194,15 @@ def test_components(llm):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.v: r.root for r in components(llm.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+    r = random.Random(3)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(500, i) for i in range(401, 450)]
+    got = {r.v: r.root for r in components(llm.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    want = {v: v for e in edges for v in e if e[0] != e[1]}
+    while any(want[a] != want[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
 
 
 def test_secrets(docs, none):
