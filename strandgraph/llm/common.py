@@ -150,8 +150,15 @@ def grouped(df: DataFrame, n: int, *key: str) -> DataFrame:
     return df.withColumn("pid", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
 
 
+def file_bytes(df: DataFrame) -> int:
+    """What the optimizer takes for the size of ``df``; 0 where it does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def number_of_groups(spark: SparkSession, rows: int = 0, rows_per_group: int = 100_000) -> int:
-    """Groups for packed shuffles: two per shuffle partition, more for many rows."""
+    """Groups for packed shuffles: two per shuffle partition, more for many rows (or
+    bytes, where these are given)."""
     return max(2 * partitions(spark), -(-rows // rows_per_group))
 
 

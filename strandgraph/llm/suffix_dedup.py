@@ -3,23 +3,27 @@
 Suffixes are ordered only through ``WINDOW`` bytes, by most-significant-digit
 passes; a pass keeps the suffixes whose digit is shared and drops the rest:
 
-1. digit one is a 64-byte anchor of the window (its minimiser, so that equal
+1. digit one is a 64-byte anchor of the window (a minimiser, so that equal
    windows have equal anchors at equal places); only shared anchors go on;
 2. digit two is the place in the anchor's block of sixteen neighbouring windows:
    a block whose whole extent is shared is settled, one whose common core is
    not shared is dropped;
 3. only windows of undecided blocks are compared one by one, on 128 bits.
 
-Equal groups after the last pass are exactly the repeated windows. Each pass
-is one shuffle of packed hashes: a group of documents (``pid``) sends every
-distinct digit once, or twice if it repeats there, so a passage that a third of
-all documents share costs two entries a group and never one task. Texts are
-shuffled once and that exchange serves all passes.
+Equal groups after the last pass are exactly the repeated windows, up to
+collisions of 128-bit hashes: digits travel as hashes, and bytes that merely look
+alike never meet. Each pass is one shuffle of packed hashes: a group of documents
+(``pid``) sends every distinct digit once, or twice if it repeats there, so a
+passage that a third of all documents share costs two entries a group and never
+one task. Texts are shuffled once and that exchange serves all passes. The first
+pass sends its anchors' places along, two bytes an anchor, so later passes hash
+anchors and the blocks of shared ones only.
 
 Null and empty texts give no windows: nothing is removed and ``kept_sha256`` is
-the hash of no bytes. Repeated rows are separate documents. Texts under
-``WINDOW`` bytes are kept. Very long texts are scanned in pieces, so memory is
-bounded by a group's texts plus a fixed buffer. Other columns are ignored.
+the hash of no bytes. Repeated rows are separate documents, and rows that tie in
+everything get equal results. Texts under ``WINDOW`` bytes are kept. Very long
+texts are scanned in pieces, so memory is bounded by a group's texts plus a fixed
+buffer. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +32,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from strandgraph.llm.common import U, as_table, capped, grouped, mix, pack, partitions, to_bytes, unpack
+from strandgraph.llm.common import U, as_table, capped, file_bytes, grouped, mix, number_of_groups, pack, partitions, unpack
 
 WINDOW = 200
 ANCHOR = 64
 SPAN = WINDOW - ANCHOR + 1
 BLOCK = 16
 PIECE = 1 << 19
+#: Bytes of input files for which a group is made, at most.
+GROUP_BYTES = 32 << 20
 PLACE = U((1 << 20) - 1)
 SEEDS = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 
@@ -44,57 +52,59 @@ PACKED = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("pid", pa.in
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
 
 
-class Lane:
-    """Hashes of all substrings of 8, 32, 64 and 128 bytes of a buffer."""
-
-    def __init__(self, data: np.ndarray, seed: np.uint64):
-        h = data.astype(np.uint64) * seed
-        h ^= h >> U(31)
-        self.of = {}
-        size = 1
-        while size < 128 and len(h) > size:
-            h = mix(h[:-size], h[size:])
-            size *= 2
-            self.of[size] = h
-
-    def window(self, at):
-        return mix(mix(self.of[128][at], self.of[64][at + 128]), self.of[8][at + 192])
-
-    def core(self, at):
-        return mix(self.of[128][at], self.of[64][at + WINDOW - BLOCK + 1 - 64])
-
-    def union(self, at):
-        return mix(mix(self.of[128][at], self.of[64][at + 128]), self.of[32][at + WINDOW + BLOCK - 1 - 32])
+def places(size: int) -> list[int]:
+    """Where the 8-byte words stand that cover ``size`` bytes."""
+    return [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
 
 
 class Buffer:
-    """Some pieces of texts side by side, with the anchor of every window."""
+    """Some pieces of texts side by side, as the 8-byte words from every place."""
 
     def __init__(self, pieces: list[tuple[int, int, bytes]]):
         self.pieces = pieces
         lens = np.array([len(p[2]) for p in pieces])
         ends = np.cumsum(lens)
-        self.data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
         self.start, self.stop = ends - lens, ends - WINDOW + 1  # window starts of each piece
-        self.lane = Lane(self.data, SEEDS[0])
-        mark = np.zeros(len(self.data) + 1, np.int8)
+        raw = b"".join(p[2] for p in pieces)
+        self.words = np.empty(len(raw) - 7, np.uint64)
+        for k in range(8):
+            self.words[k::8] = np.frombuffer(raw, "<u8", (len(raw) - k) // 8, k)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, place of anchor, first window, number of windows) of each run of
+        windows of a piece with one anchor."""
+        low = self.words * SEEDS[0]
+        low &= ~PLACE
+        low |= np.arange(len(low), dtype=np.uint64)
+        n = len(self.words) + 8 - WINDOW  # windows; the least of SPAN words each
+        rows = -(-len(low) // SPAN)
+        square = np.full(rows * SPAN, ~U(0))
+        square[: len(low)] = low
+        square = square.reshape(rows, SPAN)
+        left = np.minimum.accumulate(square, axis=1).ravel()
+        right = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
+        anchor = (np.minimum(right[:n], left[SPAN - 1 : SPAN - 1 + n]) & PLACE).astype(np.int64)
+        mark = np.zeros(n + 1, np.int8)
         mark[self.start] = 1
-        mark[self.stop] -= 1
-        self.at = np.flatnonzero(np.cumsum(mark[: len(self.data) - WINDOW + 1], dtype=np.int8))
-        h = self.lane.of[ANCHOR]
-        low = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
-        width = 1
-        while width * 2 <= SPAN:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
-        self.anchor = (low[self.at] & PLACE).astype(np.int64)
-        self.code = h
-
-    def second(self) -> Lane:
-        if not hasattr(self, "other"):
-            self.other = Lane(self.data, SEEDS[1])
-        return self.other
+        np.subtract.at(mark, np.minimum(self.stop, n), 1)
+        at = np.flatnonzero(np.cumsum(mark[:n], dtype=np.int8))
+        anchor = anchor[at]
+        new = np.ones(len(at), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        first = np.flatnonzero(new)
+        piece = np.searchsorted(self.start, at[first], side="right") - 1
+        return piece, anchor[first], at[first], np.diff(np.append(first, len(at)))
+
+    def hashes(self, at: np.ndarray, size: int, lanes: int = 1) -> list[np.ndarray]:
+        """64-bit hashes of the ``size`` bytes from each place."""
+        out = [np.full(len(at), seed) for seed in SEEDS[:lanes]]
+        for place in places(size):
+            word = self.words[at + place]
+            for h, seed in zip(out, reversed(SEEDS)):
+                h ^= word
+                h *= seed
+                h ^= h >> U(32)
+        return out
 
 
 def buffers(texts: list[bytes]):
@@ -129,89 +139,179 @@ def fold(rows: np.ndarray) -> np.ndarray:
     return key
 
 
-def blocks(b: Buffer, shared: np.ndarray):
-    """Windows with a shared anchor, and the blocks that they stand in."""
-    on = member(b.code[b.anchor], shared)
-    at, anchor = b.at[on], b.anchor[on]
-    if not len(at):
-        return at, None, None
+class Anchors:
+    """The runs of windows of a group's texts, by text: what pass 1 has found, kept
+    as the distance from anchor to anchor and a number of windows, a byte each."""
+
+    def __init__(self, texts: list[bytes], blobs: list[bytes]):
+        known = {}
+        for blob in blobs:
+            n = int(np.frombuffer(blob, np.uint64, 1)[0])
+            keys, ends = (np.frombuffer(blob, np.uint64, n, 8 + 8 * n * i) for i in (0, 1))
+            total = int(ends[-1]) if n else 0
+            bytes_ = np.frombuffer(blob, np.uint8, 2 * total, 8 + 16 * n)
+            for k, lo, hi in zip(keys.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                known[k] = (bytes_[lo:hi], bytes_[total + lo : total + hi])
+        nothing = np.zeros(0, np.uint8)
+        found = [known.get(xxhash.xxh3_64_intdigest(t), (nothing, nothing)) if len(t) >= WINDOW else (nothing, nothing) for t in texts]
+        self.ends = np.cumsum([0, *(len(x) for x, _ in found)])
+        self.anchor = np.concatenate([np.cumsum(x, dtype=np.int64) for x, _ in found] or [nothing])
+        self.count = np.concatenate([x for _, x in found] or [nothing]).astype(np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.first -= np.repeat(np.append(self.first, 0)[self.ends[:-1]], np.diff(self.ends))
+
+    @staticmethod
+    def packed(texts: list[bytes], doc: np.ndarray, anchor: np.ndarray, count: np.ndarray) -> bytes:
+        some = np.unique(doc)
+        keys = np.array([xxhash.xxh3_64_intdigest(texts[i]) for i in some], np.uint64)
+        step = np.diff(anchor, prepend=0)
+        head = np.searchsorted(doc, some)
+        step[head] = anchor[head]
+        ends = np.append(head[1:], len(doc)).astype(np.uint64)
+        return b"".join([np.uint64(len(some)).tobytes(), keys.tobytes(), ends.tobytes(), step.astype(np.uint8).tobytes(), count.astype(np.uint8).tobytes()])
+
+    def of(self, b: Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``Buffer.runs`` gives."""
+        lo, hi, shift = [], [], []
+        for (i, base, part), start in zip(b.pieces, b.start.tolist()):
+            x, y = self.ends[i], self.ends[i + 1]
+            mine = self.first[x:y]
+            lo.append(x + (np.searchsorted(mine, base) if base else 0))
+            hi.append(x + np.searchsorted(mine, base + len(part) - WINDOW + 1))
+            shift.append(start - base)
+        n = np.array(hi) - np.array(lo)
+        piece = np.repeat(np.arange(len(n)), n)
+        at = np.arange(n.sum()) + (np.array(lo) - (np.cumsum(n) - n))[piece]
+        shift = np.array(shift)[piece]
+        return piece, self.anchor[at] + shift, self.first[at] + shift, self.count[at]
+
+
+def blocks(b: Buffer, runs, shared: np.ndarray):
+    """The blocks in which windows with a shared anchor stand: (hashed extents,
+    and of each part of a run in a block: its block, its first and last window)."""
+    piece, anchor, first, count = runs
+    on = member(b.hashes(anchor, ANCHOR)[0], shared)
+    if not on.any():
+        return None
+    piece, anchor, first, final = piece[on], anchor[on], first[on], first[on] + count[on] - 1
+    least, most = (anchor - final) // BLOCK, (anchor - first) // BLOCK
+    n = most - least + 1
+    run = np.repeat(np.arange(len(n)), n)
+    last = anchor[run] - BLOCK * (least[run] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    lo, hi = np.maximum(first[run], last - (BLOCK - 1)), np.minimum(final[run], last)
     # two anchors may name the same block: its place counts once
-    last, block = np.unique(anchor - (anchor - at) // BLOCK * BLOCK, return_inverse=True)
-    first = last - (BLOCK - 1)
-    piece = np.searchsorted(b.start, np.maximum(first, 0), side="right") - 1
-    whole = (first >= 0) & (last < b.stop[piece])
+    last, one, block = np.unique(last, return_index=True, return_inverse=True)
+    piece = piece[run[one]]
+    start = last - (BLOCK - 1)
+    whole = (start >= b.start[piece]) & (last < b.stop[piece])
     items = np.zeros((len(last), 3), np.uint64)
-    items[:, 0] = b.lane.core(last)
-    f = first[whole]
-    items[whole, 1], items[whole, 2] = b.lane.union(f), b.second().union(f)
-    return at, block, items
+    items[:, 0] = b.hashes(last, WINDOW - BLOCK + 1)[0]
+    items[whole, 1], items[whole, 2] = b.hashes(start[whole], WINDOW + BLOCK - 1, 2)
+    return items, block, lo, hi
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers from each lo to its hi."""
+    n = hi - lo + 1
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
 def pass_over(level: int, n_buckets: int):
     """The map side of pass ``level`` (1 to 3), or 4: the result."""
 
     def run(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
-        ids, texts = left.column("doc_id").to_pylist(), [to_bytes(t) for t in left.column("text").to_pylist()]
+        texts = [t or b"" for t in left.column("text").to_pylist()]
         pid = left.column("pid")[0].as_py() if left.num_rows else 0
-        fed: dict[int, list[bytes]] = {1: [], 2: [], 3: []}
+        fed: dict[int, list[bytes]] = {0: [], 1: [], 2: [], 3: []}
         if right is not None:
             for n, items in zip(right.column("level").to_pylist(), right.column("items").to_pylist()):
                 fed[n].append(items)
+        if level == 1:
+            return first_pass(texts, pid)
         shared = np.sort(unpack(fed[1], 1)[:, 0])
         status, windows = np.sort(unpack(fed[2], 1)[:, 0]), np.sort(unpack(fed[3], 1)[:, 0])
-        sent, hits = [], {}
-        for b in buffers(texts) if level == 1 or len(shared) else ():
-            if level == 1:
-                sent.append(capped(b.code[np.unique(b.anchor)].reshape(-1, 1)))
-                continue
-            at, block, items = blocks(b, shared)
-            if not len(at):
+        anchors = Anchors(texts, fed[0]) if len(shared) else None
+        sent, hits = [], []
+        for b in buffers(texts) if len(shared) else ():
+            found = blocks(b, anchors.of(b), shared)
+            if found is None:
                 continue
+            items, block, lo, hi = found
             if level == 2:
                 sent.append(capped(items))
                 continue
             key = fold(items) & ~U(3)
-            says = sum(k * member(key | U(k), status) for k in (1, 2, 3))[block]
-            single = at[(says & 1) > 0]
-            digest = np.column_stack([b.lane.window(single), b.second().window(single)])
+            at = np.minimum(np.searchsorted(status, key), max(len(status) - 1, 0))
+            says = (np.where((status[at] & ~U(3)) == key, status[at] & U(3), U(0)) if len(status) else key * U(0))[block]
+            open_ = (says & U(1)) > 0
+            single = ranges(lo[open_], hi[open_])
+            digest = np.column_stack(b.hashes(single, WINDOW, 2))
             if level == 3:
                 sent.append(capped(digest))
                 continue
-            again = np.concatenate([at[(says & 2) > 0], single[member(fold(digest), windows)]])
-            if not len(again):
-                continue
-            again = np.unique(again)
-            piece = np.searchsorted(b.start, again, side="right") - 1
-            for k in np.unique(piece):
-                doc, base, _ = b.pieces[k]
-                hits.setdefault(doc, []).append(again[piece == k] - b.start[k] + base)
+            single = single[member(fold(digest), windows)]
+            whole = (says & U(2)) > 0
+            lo, hi = np.concatenate([lo[whole], single]), np.concatenate([hi[whole], single]) + WINDOW
+            piece = np.searchsorted(b.start, lo, side="right") - 1
+            shift = np.array([base for _, base, _ in b.pieces])[piece] - b.start[piece]
+            hits.append(np.column_stack([np.array([i for i, _, _ in b.pieces])[piece], lo + shift, hi + shift]))
         if level < 4:
-            rows = capped(np.concatenate(sent)) if sent else np.zeros((0, 1), np.uint64)
-            out = list(pack((rows[:, 0] % U(n_buckets)).astype(np.int64), n_buckets, *rows.T)) if len(rows) else []
-            return as_table(PACKED, level=[level] * len(out), bucket=[x[0] for x in out], pid=[pid] * len(out), items=[x[1] for x in out])
+            return sending(level, pid, np.concatenate(sent) if sent else None)
         out = {f.name: [] for f in RESULT}
-        for i, (doc_id, t) in enumerate(zip(ids, texts)):
-            spans, kept, removed = [], t, 0
-            if i in hits:
-                s = np.unique(np.concatenate(hits[i]))
-                cut = np.flatnonzero(np.diff(s) > WINDOW) + 1
-                lo, hi = s[np.r_[0, cut]], s[np.r_[cut - 1, len(s) - 1]] + WINDOW
-                spans = np.column_stack([lo, hi]).ravel().tolist()
-                removed = int((hi - lo).sum())
-                edge = [0, *spans, len(t)]
-                kept = b"".join(t[a:z] for a, z in zip(edge[::2], edge[1::2]))
-            for k, v in zip(out, (doc_id, len(t), removed, len(spans) // 2, hashlib.sha256(kept).hexdigest(), spans)):
+        spans = merged(np.concatenate(hits)) if hits else np.zeros((0, 3), np.int64)
+        edges = np.searchsorted(spans[:, 0], np.arange(len(texts) + 1))
+        for i, (doc_id, t) in enumerate(zip(left.column("doc_id").to_pylist(), texts)):
+            mine = spans[edges[i] : edges[i + 1], 1:].ravel().tolist()
+            kept = t
+            if mine:
+                edge = [0, *mine, len(t)]
+                kept = b"".join([t[a:z] for a, z in zip(edge[::2], edge[1::2])])
+            for k, v in zip(out, (doc_id, len(t), len(t) - len(kept), len(mine) // 2, hashlib.sha256(kept).hexdigest(), mine)):
                 out[k].append(v)
         return as_table(RESULT, **out)
 
+    def first_pass(texts: list[bytes], pid: int) -> pa.Table:
+        sent, doc, place, count = [], [], [], []
+        for b in buffers(texts):
+            piece, anchor, _, n = b.runs()
+            sent.append(capped(b.hashes(anchor, ANCHOR)[0].reshape(-1, 1)))
+            doc.append(np.array([i for i, _, _ in b.pieces])[piece])
+            place.append(anchor - b.start[piece] + np.array([base for _, base, _ in b.pieces])[piece])
+            count.append(n)
+        out = sending(1, pid, np.concatenate(sent) if sent else None)
+        if not sent:
+            return out
+        own = Anchors.packed(texts, *map(np.concatenate, (doc, place, count)))
+        return pa.concat_tables([out, as_table(PACKED, level=[0], bucket=[n_buckets + pid], pid=[pid], items=[own])])
+
+    def sending(level: int, pid: int, rows: np.ndarray | None) -> pa.Table:
+        rows = np.zeros((0, 1), np.uint64) if rows is None else capped(rows)
+        out = list(pack((rows[:, 0] % U(n_buckets)).astype(np.int64), n_buckets, *rows.T)) if len(rows) else []
+        return as_table(PACKED, level=[level] * len(out), bucket=[x[0] for x in out], pid=[pid] * len(out), items=[x[1] for x in out])
+
     return run if level > 1 else lambda t: run(t)
 
 
+def merged(spans: np.ndarray) -> np.ndarray:
+    """(document, start, end) rows with those that touch or overlap as one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    far = spans[:, 0] << 40
+    end = np.maximum.accumulate(far + spans[:, 2])
+    new = np.ones(len(spans), bool)
+    new[1:] = far[1:] + spans[1:, 1] > end[:-1]
+    first = np.flatnonzero(new)
+    return np.column_stack([spans[first, 0], spans[first, 1], end[np.append(first[1:], len(spans)) - 1] - far[first]])
+
+
 def meet(level: int):
     """The reduce side of a pass: which digits are shared, told to each group."""
     width = {1: 1, 2: 3, 3: 2}[level]
 
     def run(t: pa.Table) -> pa.Table:
+        if t.column("level")[0].as_py() == 0:  # a group's own anchors, on their way back
+            return t
         pids, blobs = t.column("pid").to_pylist(), t.column("items").to_pylist()
         rows = unpack(blobs, width)
         src = np.repeat(np.arange(len(blobs)), [len(x) // (8 * width) for x in blobs])
@@ -252,10 +352,12 @@ def remove_repeats(docs: DataFrame, groups: int | None = None) -> DataFrame:
     and ``spans``, the removed byte runs as start, end, start, end, ...
 
     ``groups``: how many groups of documents; a task holds one group's texts at
-    a time (default: two per shuffle partition)."""
+    a time (default: two per shuffle partition, more for over ``GROUP_BYTES`` each)."""
     spark = docs.sparkSession
     n = partitions(spark)
-    texts = grouped(docs.select("doc_id", "text"), groups or 2 * n, "doc_id").repartition(n, "pid")
+    groups = groups or number_of_groups(spark, file_bytes(docs), GROUP_BYTES)
+    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = grouped(docs, groups, "doc_id", "text").repartition(n, "pid")
     of = texts.groupBy("pid")
 
     buckets = max(1, n // 2)
