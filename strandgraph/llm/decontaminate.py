@@ -2,19 +2,23 @@
 
 A text and a benchmark item are compared as token sequences: lower case, no
 ASCII punctuation. A seed is a run of ``SEED`` tokens that both hold (all tokens
-of a shorter item); texts without seeds are done. For the rest, running
-Karp-Rabin hashes give the common runs, and tiling marks the longest run whose
-tokens are unmarked on both sides, again and again, down to seeds. An item
-leaks into a text if tiles cover at least ``COVER`` of its tokens, in whatever
-order they stand.
+of a shorter item); texts without seeds are done. For the rest, tiling marks the
+longest run that both hold unmarked, again and again, down to seeds; of equal
+ones the first in the item, then in the text. Running Karp-Rabin hashes find it:
+a length is tried on all unmarked windows of the text's seeded stretches and of
+the item at once, the longest by bisection, and the tokens of a match are
+compared. Lengths are distinct, so an item of m tokens takes at most some sqrt(2 m)
+rounds, however often its words repeat. An item leaks into a text if tiles cover
+at least ``COVER`` of its tokens, in whatever order they stand.
 
 Items are the stated side: they are read in blocks of at most ``BLOCK_BYTES``
 of text, each block is broadcast and meets every row; a larger benchmark means
 more blocks, not a larger broadcast.
 
 Null and empty texts and items match nothing. Repeated rows give repeated
-results, repeated items one result each. Very long texts are handled whole.
-Other columns are ignored or passed on.
+results, repeated items one result each. Very long and very repetitive texts are
+handled whole. Empty tables give empty results. Other columns are ignored or
+passed on.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 class Items:
-    """Seeds of a block of items."""
+    """Seeds of a block of items: (seed, item) pairs and the seeds' places."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids, self.words = [], []
@@ -50,81 +54,136 @@ class Items:
                 self.words.append(w)
         self.by_size = {}
         for size in {min(SEED, len(w)) for w in self.words}:
-            seeds, item, place = [], [], []
+            seeds, item, times = [], [], []
             for i, w in enumerate(self.words):
                 if min(SEED, len(w)) == size:
-                    s = shingle_hashes(w, size)
+                    s, n = np.unique(shingle_hashes(w, size), return_counts=True)
                     seeds.append(s)
                     item.append(np.full(len(s), i))
-                    place.append(np.arange(len(s)))
-            seeds, item, place = map(np.concatenate, (seeds, item, place))
+                    times.append(n)
+            seeds, item, times = map(np.concatenate, (seeds, item, times))
             order = np.argsort(seeds, kind="stable")
             maybe = np.zeros(1 << TABLE_BITS, bool)
             maybe[seeds >> U(64 - TABLE_BITS)] = True
-            self.by_size[size] = (seeds[order], item[order], place[order], maybe)
+            self.by_size[size] = (seeds[order], item[order], times[order], maybe)
 
     def leaks(self, text: str | None, cover: float = COVER) -> list[tuple[int, float, int]]:
         """(item_id, coverage, number of tiles) of the items that leak in."""
         w = tokens(text)
         out = []
-        for size, (seeds, item, place, maybe) in self.by_size.items():
+        for size, (seeds, item, times, maybe) in self.by_size.items():
             if len(w) < size:
                 continue
             h = shingle_hashes(w, size)
             at = np.flatnonzero(maybe[h >> U(64 - TABLE_BITS)])
             if not len(at):
                 continue
-            lo, hi = np.searchsorted(seeds, h[at], "left"), np.searchsorted(seeds, h[at], "right")
+            # each seed of the text once, whatever its number
+            mine, of = np.unique(h[at], return_inverse=True)
+            lo, hi = np.searchsorted(seeds, mine, "left"), np.searchsorted(seeds, mine, "right")
             n = hi - lo
             if not n.any():
                 continue
-            at = np.repeat(at, n)
-            k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            for i in np.unique(item[k]):
-                mine = item[k] == i
-                p, t = place[k[mine]], at[mine]
-                need = cover * len(self.words[i])
-                if len(np.unique(p)) + size - 1 < need and len(np.unique(p)) * size < need:
+            seed = np.repeat(np.arange(len(mine)), n)
+            k = np.arange(len(seed)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            order = np.argsort(item[k], kind="stable")
+            seed, k = seed[order], k[order]
+            for one in np.split(np.arange(len(k)), np.flatnonzero(np.diff(item[k])) + 1):
+                i = item[k[one[0]]]
+                need, places = cover * len(self.words[i]), times[k[one]].sum()
+                if places + size - 1 < need and places * size < need:
                     continue
-                covered, tiles = tile(w, self.words[i], t, p, size)
+                here = np.zeros(len(mine), bool)
+                here[seed[one]] = True
+                covered, tiles = tile(stretches(w, at[here[of]], size), self.words[i], size)
                 if covered >= need:
                     out.append((self.ids[i], covered / len(self.words[i]), tiles))
         return out
 
 
-def tile(text: np.ndarray, item: np.ndarray, t: np.ndarray, p: np.ndarray, size: int) -> tuple[int, int]:
-    """(tokens of ``item`` covered, number of tiles). (t, p) are the places of
-    equal seeds; runs of them on a diagonal are the common substrings."""
-    diagonal = t - p
-    order = np.lexsort((p, diagonal))
-    t, p, diagonal = t[order], p[order], diagonal[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (diagonal[1:] != diagonal[:-1]) | (p[1:] != p[:-1] + 1)
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(t))) + size - 1
-    runs = [(int(n), int(p[i]), int(t[i])) for i, n in zip(first, length) if (text[t[i] : t[i] + n] == item[p[i] : p[i] + n]).all()]
-    in_item, in_text = np.zeros(len(item), bool), {}
+def stretches(text: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """The parts of a text that seeds at the places ``at`` cover."""
+    cut = np.flatnonzero(np.diff(at) > size) + 1
+    return [text[x[0] : x[-1] + size] for x in np.split(at, cut)] if len(at) else []
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, U(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Side:
+    """One side of a tiling: tokens, and which of them are marked."""
+
+    def __init__(self, words: np.ndarray, marked: np.ndarray):
+        self.words, self.marked, self.back = words, marked, powers(_BACK, len(words))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(_BASE, len(words))[:-1], dtype=np.uint64)])
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, rolling hashes) of the windows of ``n`` unmarked tokens."""
+        if n > len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        used = np.concatenate([[0], np.cumsum(self.marked)])
+        at = np.flatnonzero(used[n:] == used[:-n])
+        return at, (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
+def tile(text: list[np.ndarray], item: np.ndarray, size: int) -> tuple[int, int]:
+    """(tokens of ``item`` covered, number of tiles of ``size`` tokens or more);
+    tiles do not cross from one stretch of ``text`` to another."""
+    if not text:
+        return 0, 0
+    gap = np.zeros(1, np.uint64)
+    words = np.concatenate([x for part in text for x in (part, gap)])
+    marked = np.zeros(len(words), bool)
+    marked[np.cumsum([len(part) + 1 for part in text]) - 1] = True
+    a, b = Side(item, np.zeros(len(item), bool)), Side(words, marked)
+
+    def common(n: int) -> dict[int, tuple[list[int], list[int]]]:
+        (p, x), (t, y) = a.windows(n), b.windows(n)
+        both = np.intersect1d(x, y)
+        p, x, t, y = p[np.isin(x, both)], x[np.isin(x, both)], t[np.isin(y, both)], y[np.isin(y, both)]
+        if not len(both):
+            return {}
+        out = {h: ([], []) for h in both.tolist()}
+        for place, h in zip(p.tolist(), x.tolist()):
+            out[h][0].append(place)
+        for place, h in zip(t.tolist(), y.tolist()):
+            out[h][1].append(place)
+        return out
+
     covered = tiles = 0
-    runs.sort(key=lambda r: (-r[0], r[1], r[2]))
-    while runs:
-        n, a, b = runs.pop(0)
-        free = [not in_item[a + i] and (b + i) not in in_text for i in range(n)]
-        if all(free):
-            in_item[a : a + n] = True
-            in_text.update(dict.fromkeys(range(b, b + n)))
-            covered, tiles = covered + n, tiles + 1
-            continue
-        at = 0
-        while at < n:  # what is unmarked of it goes back, by length
-            if free[at]:
-                end = at
-                while end < n and free[end]:
-                    end += 1
-                if end - at >= size:
-                    runs.append((end - at, a + at, b + at))
-                at = end
-            at += 1
-        runs.sort(key=lambda r: (-r[0], r[1], r[2]))
+    most = min(len(item), max(map(len, text)))
+    while most >= size:
+        if not len(np.intersect1d(a.windows(size)[1], b.windows(size)[1])):
+            break
+        lo, hi = size, most
+        while lo < hi:  # a common window of n tokens holds one of n - 1
+            mid = (lo + hi + 1) // 2
+            if len(np.intersect1d(a.windows(mid)[1], b.windows(mid)[1])):
+                lo = mid
+            else:
+                hi = mid - 1
+        n = most = lo
+        found = common(n)
+        next_ = dict.fromkeys(found, 0)
+        for p, h in sorted((p, h) for h, (places, _) in found.items() for p in places):
+            if a.marked[p] or a.marked[p + n - 1]:
+                continue
+            there, k = found[h][1], next_[h]
+            while k < len(there) and (b.marked[there[k]] or b.marked[there[k] + n - 1] or not (words[there[k] : there[k] + n] == item[p : p + n]).all()):
+                k += 1
+            next_[h] = k
+            if k < len(there):
+                a.marked[p : p + n] = True
+                b.marked[there[k] : there[k] + n] = True
+                covered, tiles = covered + n, tiles + 1
+        most = n - 1  # what is common and unmarked now is shorter
     return covered, tiles
 
 

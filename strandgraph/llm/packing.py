@@ -3,15 +3,17 @@
 Texts are tokenised whole, word by word: white space always ends a token of
 this vocabulary, so the ids of each distinct word are looked up once and the
 ids of a text are gathered. Documents longer than ``LENGTH`` are cut into
-pieces of that length. Pieces are dealt by hash into groups, and each group is
-packed on its own: a sequence takes the longest piece that is left, then again
+pieces of that length. Pieces are dealt by hash into groups of ``SEQUENCES``
+sequences, and each group is packed on its own: a sequence takes the longest piece that is left, then again
 and again the longest that fits; when none fits, its smallest piece gives way
 to the two unpacked pieces that fill the widened gap best, if they fill it
-better. A group leaves less than one sequence's worth of loss, whatever its
-size; only lengths and ids are shuffled.
+better. A group's last sequences stay unfilled, so few large groups lose little;
+their size goes by the tokens, not by the session's partitions. Only lengths and
+checksums are shuffled.
 
 Null and empty texts are the single id 0. Repeated rows are packed each on its
-own. Ties go to the lower doc_id and piece. Other columns are ignored.
+own. Ties go to the lower doc_id and piece. Very long texts are tokenised whole.
+Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from strandgraph.llm.common import as_table, grouped, partitions
+from strandgraph.llm.common import Scratch, as_table, grouped
 
 LENGTH = 2048
+#: Sequences that a group fills, about.
+SEQUENCES = 500
 END = 0
 VOCABULARY = "word_bpe_49k.json"
 WORDS_KEPT = 800_000
@@ -253,8 +258,14 @@ def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def packed(cut: DataFrame, length: int = LENGTH, groups: int | None = None) -> DataFrame:
-    """``cut``, rows of ``pieces``, each with its sequence and its place there."""
+def packed(cut: DataFrame, length: int = LENGTH, sequences: int = SEQUENCES) -> DataFrame:
+    """``cut``, rows of ``pieces``, each with its sequence and its place there.
+
+    Pieces are written and their ids counted first; then groups, by hash, are sized
+    to fill about ``sequences`` sequences each, whatever the number of partitions."""
+    spark = cut.sparkSession
+    cut = Scratch(spark, "pieces").put(cut, "cut")
+    n = -(-(cut.agg(F.sum("length")).first()[0] or 0) // (length * sequences)) or 1
 
     def run(t: pa.Table) -> pa.Table:
         pid = t.column("pid")[0].as_py()
@@ -268,5 +279,4 @@ def packed(cut: DataFrame, length: int = LENGTH, groups: int | None = None) -> D
                 at += sizes[i]
         return t.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset)).cast(PACKED)
 
-    n = groups or partitions(cut.sparkSession)
-    return grouped(cut, n, "doc_id", "piece").groupBy("pid").applyInArrow(run, PACKED_DDL)
+    return grouped(cut, n, "doc_id", "piece", "ids_crc32").groupBy("pid").applyInArrow(run, PACKED_DDL)

@@ -85,12 +85,13 @@ def queries():
 
 CHAT_SQL = """
 WITH t AS (
-    SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS tie FROM conversations
 ), n AS (
-    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, tie) AS k,
         count(*) OVER (PARTITION BY conv_id) AS n_turns,
         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER (
-            PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+            PARTITION BY conv_id ORDER BY turn, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
     FROM t
 ), whole AS (SELECT conv_id, n_turns, upto FROM n WHERE k = n_turns),
 prefix AS (SELECT DISTINCT k, upto FROM n WHERE k < n_turns),
@@ -99,7 +100,7 @@ kept AS (
     WHERE NOT EXISTS (SELECT 1 FROM prefix p WHERE p.k = w.n_turns AND p.upto = w.upto) GROUP BY n_turns, upto
 )
 SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS segment, CAST(any_value(n_turns) AS BIGINT) AS n_turns, CAST(min(k) - 1 AS BIGINT) AS first,
-    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, tie) AS text
 FROM n WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id, CAST(floor(turn / 64) AS BIGINT)
 """
 

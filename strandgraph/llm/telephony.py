@@ -5,8 +5,9 @@
 4-bit ADPCM blocks (all blocks of a batch at once, one numpy step per sample of
 a block) and resamples PCM. ``describe`` gives the figures of a stored file.
 
-Null and empty texts are 64 zero bytes. Equal texts give equal files. Very long
-texts are handled whole, in memory bounded by one batch. Other columns are
+Null and empty texts are 64 zero bytes. Equal texts and repeated rows give equal
+files. Very long texts are handled whole; what is decoded at once is bounded by
+``PART_BYTES`` or one text. Empty tables give empty results. Other columns are
 ignored.
 """
 
@@ -116,6 +117,8 @@ def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
     return ((x[i] * (target - part) + x[np.minimum(i + 1, len(x) - 1)] * part) // target).astype(np.int16)
 
 
+#: Bytes of media that are decoded at once.
+PART_BYTES = 8 << 20
 STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 FIGURES = pa.schema([*STORED, ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
 
@@ -148,13 +151,25 @@ def expanded(stored: DataFrame, target: int = TARGET) -> DataFrame:
     return stored.mapInArrow(run, stored.selectExpr("*", "cast(null as binary) as pcm").schema)
 
 
+def parts(batches, size: int = PART_BYTES):
+    """The batches in parts of rows whose media have about ``size`` bytes, so what is
+    decoded at once is bounded, but for a single larger file."""
+    for b in batches:
+        ends = np.cumsum([len(m) for m in b.column("media").to_pylist()], dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def describe(stored: DataFrame) -> DataFrame:
     """``stored`` with figures of the samples that are read back from ``media``:
     size, hashes, and ``feature``: mean square and sign changes of the mu-law
     PCM, and CRC-32 of the A-law, ADPCM and resampled PCM."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             media = b.column("media").to_pylist()
             data = [unwave(m) for m in media]
             whole = np.frombuffer(b"".join(d for _, _, d in data), np.uint8).reshape(-1, UNIT)

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -237,6 +238,10 @@ def test_audio(docs, none):
         assert (law, rate, back) == (a.MULAW, a.RATE, p)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert got[5].feature == got[6].feature and a.describe(a.store(none)).count() == 0
+    import pyarrow as pa
+
+    b = pa.record_batch([pa.array([b"x" * n for n in (5, 5, 90, 1, 1, 1)])], ["media"])
+    assert [x.num_rows for x in a.parts([b, b.slice(0, 0)], 10)] == [2, 1, 3]
     pcm = a.expanded(a.store(docs)).where("doc_id = 3").first().pcm
     assert len(pcm) == 64 * 2 * 2
 
@@ -291,6 +296,26 @@ def test_packing(docs, none):
     assert packed(pieces(none)).count() == 0
 
 
+def test_packing_does_not_depend_on_partitions(llm):
+    from strandgraph.llm.packing import PIECES_DDL, packed
+
+    r = random.Random(2)
+    rows = [(i, 0, 0, r.choice([r.randint(1, 300), r.randint(1, 2048)]), i) for i in range(3000)]
+    cut = llm.createDataFrame(rows, PIECES_DDL)
+    bound = -(-sum(x[3] for x in rows) // 2048)
+    before = llm.conf.get("spark.sql.shuffle.partitions")
+    try:
+        used = []
+        for n in ("3", "200"):
+            llm.conf.set("spark.sql.shuffle.partitions", n)
+            used.append(packed(cut).select("sequence_id").distinct().count())
+    finally:
+        llm.conf.set("spark.sql.shuffle.partitions", before)
+    assert used[0] == used[1] <= 1.01 * bound
+    groups = packed(cut, sequences=100).select("sequence_id").distinct().count()
+    assert groups <= 1.03 * bound
+
+
 def test_best_two_fit():
     from strandgraph.llm.packing import best_two_fit
 
@@ -356,15 +381,11 @@ def test_decontamination(llm, docs, none):
 
 
 def test_tiles_do_not_overlap():
-    from strandgraph.llm.decontaminate import SEED, shingle_hashes, tile
+    from strandgraph.llm.decontaminate import SEED, Items, tile
 
     r = np.random.default_rng(1)
-    for _ in range(30):
-        item, text = r.integers(0, 3, 40).astype(np.uint64), r.integers(0, 3, 60).astype(np.uint64)
-        hi, ht = shingle_hashes(item, SEED), shingle_hashes(text, SEED)
-        t, p = map(np.array, zip(*[(j, i) for i, x in enumerate(hi) for j, y in enumerate(ht) if x == y] or [(0, 0)]))
-        if len(t) == 1:
-            continue
+    for k in range(60):
+        item, text = r.integers(0, 3 + k % 3, 40).astype(np.uint64), r.integers(0, 3 + k % 3, 60).astype(np.uint64)
         # greedy string tiling as first described: rescan for the longest unmarked match
         ui, ut, covered, tiles = [False] * 40, [False] * 60, 0, 0
         while True:
@@ -381,7 +402,13 @@ def test_tiles_do_not_overlap():
             n, i, j = best
             ui[i : i + n], ut[j : j + n] = [True] * n, [True] * n
             covered, tiles = covered + n, tiles + 1
-        assert tile(text, item, t, p, SEED) == (covered, tiles)
+        assert tile([text], item, SEED) == (covered, tiles)
+    began = time.perf_counter()
+    block = Items([(1, "very " * 400), (2, prose(200, 8) + " very" * 50), (3, "la di da " * 100)])
+    assert block.leaks("very " * 16_000) == [(1, 1.0, 1)]
+    assert block.leaks("la di da " * 6_000 + prose(5000, 9)) == [(3, 1.0, 1)]
+    assert block.leaks(("very " * 16_000 + prose(200, 8) + " ") * 3) == [(1, 1.0, 1), (2, 1.0, 1)]
+    assert time.perf_counter() - began < 5
 
 
 def test_licenses(docs, none, llm):

@@ -122,6 +122,21 @@ def test_snapshots_collapse(log):
     assert of[10, 0].n_turns == 2 and of[9, -1].text == "<|im_start|>\n<|im_end|>\n"
 
 
+def test_ties_are_ordered_as_in_sql(llm, tmp_path):
+    import duckdb
+
+    from strandgraph.llm.chat_format import rendered
+    from strandgraph.llm.queries import CHAT_SQL
+
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "c"), (2, 0, "user", "a"), (2, 0, "assistant", "c"), (2, 0, "user", "b"), (2, 1, "user", None), (3, None, None, "z"), (3, 0, "q", "")]
+    t = llm.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, tie string")
+    t.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = sorted(con.execute(CHAT_SQL).fetchall(), key=str)
+    assert sorted((tuple(r) for r in rendered(t).collect()), key=str) == want and {w[0] for w in want} == {2, 3}
+
+
 def test_no_conversations(log):
     from strandgraph.llm.chat_format import rendered
 
