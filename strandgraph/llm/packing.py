@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import zlib
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,7 @@ class WordTokenizer:
     word with a closing "," or "." is put together from its parts."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
@@ -135,9 +138,9 @@ class WordTokenizer:
             ids = np.array(self.bare_ids(some), np.uint32)
             ends = np.flatnonzero(self.ends[ids])
             self.put(numbers(some), ids, np.diff(ends, prepend=-1))
-        for w in other:
-            ids = np.array(self.ids_of(w), np.uint32)
-            self.put(numbers([w]), ids, np.array([len(ids)]))
+        if other:
+            each = [x.ids for x in self.of.encode_batch_fast(other, add_special_tokens=False)]
+            self.put(numbers(other), np.array(list(chain.from_iterable(each)), np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
         for c, own in closed.items():
             if own:
                 base = numbers([w[:-1] for w in own])
