@@ -7,8 +7,10 @@ of its arguments, never their values. Errors have a code."""
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +18,44 @@ from pyspark.sql import functions as F
 from strandgraph import schema as s
 from strandgraph.extract.files import KINDS
 from strandgraph.functions.patterns import checked
-from strandgraph.operators import build, coverage, graph, journal, paging, resolve, search
+from strandgraph.operators import build, coverage, graph, journal, mutate, paging, resolve, search
 from strandgraph.schema import GraphError
 from strandgraph.sources import manifests, repo
-from strandgraph.storage import Store
+from strandgraph.storage import Store, Version, checkpoint_folder
 
 ROUTES, ENTRY_POINTS, LARGEST, EXAMPLES = 50, 50, 15, 25
 MAX_PATHS, MAX_SCOPES = 128, 32
 ATLAS = (20, 220, 600)
+#: Characters that make a query a pattern.
+PATTERN_SIGNS = set("^$*+?[](){}|\\")
 
 
 def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def _first(key: str, df: DataFrame, order) -> dict:
+    """The first rows of a list, how many there are, and whether that is all."""
+    rows, total = _rows(df.orderBy(*order).limit(paging.MOST)), df.count()
+    return {key: rows, f"{key}_total": total, f"{key}_cut": total > len(rows)}
+
+
+class Phases:
+    """Milliseconds of each phase of a run."""
+
+    def __init__(self):
+        self.ms, self.began = {}, time.time()
+        self.last = self.began
+
+    def __call__(self, name: str):
+        now = time.time()
+        self.ms[name] = self.ms.get(name, 0) + int((now - self.last) * 1000)
+        self.last = now
+
+    def report(self) -> dict:
+        return {"duration_ms": int((time.time() - self.began) * 1000), "phase_ms": {k: self.ms.get(k, 0) for k in ("walk", "hash", "parse", "load_facts", "resolve_edges", "answers", "report")}}
+
+
 def hinted(name: str, out):
     """Says how to go on where an answer is one page of several."""
     if isinstance(out, dict) and out.get("has_more") and out.get("cursor"):
@@ -60,9 +86,7 @@ class Engine:
         self.spark, self.home, self.clock, self.journalled = spark, home.rstrip("/"), clock, journalled
         self.store = Store(spark, f"{self.home}/projects")
         self.records = Store(spark, f"{self.home}/records")
-        sc = spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{self.home}/checkpoints")
+        checkpoint_folder(spark, f"{self.home}/checkpoints")
 
     # journal
 
@@ -72,7 +96,13 @@ class Engine:
         total = out.get("total") if isinstance(out, dict) else None
         more = out.get("has_more") if isinstance(out, dict) else None
         row = (int(self.clock()), tool, sorted(arguments), arguments.get("project"), took, code is None, code, total, more)
-        self.spark.createDataFrame([row], s.JOURNAL).coalesce(1).write.mode("append").json(f"{self.home}/journal")
+        names = [c.split()[0] for c in s.JOURNAL.split(", ")]
+        line = json.dumps({k: v for k, v in zip(names, row) if v is not None}) + "\n"
+        # a small file by the file system itself: no job a call
+        path, fs = self.store._fs(f"{self.home}/journal/{time.time_ns():020d}-{uuid.uuid4().hex}.json")
+        out = fs.create(path)
+        out.write(bytearray(line.encode()))
+        out.close()
 
     def journal(self) -> DataFrame:
         """Journal rows in file order; malformed lines are skipped."""
@@ -88,9 +118,9 @@ class Engine:
         out |= {"by_tool": {r["tool"]: r["n"] for r in _rows(journal.counts(j, "tool"))}, "by_error_code": {r["error_code"]: r["n"] for r in _rows(journal.counts(j, "error_code"))}}
         out["by_tool_stats"] = {r.pop("tool"): r for r in _rows(journal.tool_stats(j))}
         aliases = self._aliases()
-        out["by_project"] = _rows(journal.projects(j, aliases).limit(paging.MOST))
         out["common_sequences"] = [(r["sequence"], r["n"]) for r in _rows(journal.sequences(j))]
-        out["sessions"] = _rows(journal.sessions(j, aliases).orderBy("session").limit(paging.MOST))
+        for key, df, order in (("by_project", journal.projects(j, aliases), [F.desc("calls"), F.asc_nulls_first("project")]), ("sessions", journal.sessions(j, aliases), ["session"])):
+            out |= _first(key, df, order)
         out["window"] = window
         return out
 
@@ -130,7 +160,19 @@ class Engine:
         v = self.store.current(self._project(project))
         if v is None:
             raise GraphError("index_missing", f"'{project}' has no complete index")
-        return build.Graph(v.get("files"), v.get("extracts"), v.get("nodes"), v.get("edges"))
+        return build.Graph(self._files(v), v.get("extracts"), v.get("nodes"), self._edges(v))
+
+    def _files(self, v: Version) -> DataFrame:
+        """Files, with the times that were noted since where contents stayed the same."""
+        if not v.has("times"):
+            return v.get("files")
+        times = v.get("times").groupBy("path").agg(F.max_by("mtime_ns", "noted_at").alias("mtime_ns"))
+        return mutate.set_times(v.get("files"), times)
+
+    def _edges(self, v: Version) -> DataFrame:
+        """Edges, with those observed since."""
+        edges = v.get("edges")
+        return edges.unionByName(v.get("traces").select(edges.columns)) if v.has("traces") else edges
 
     def views(self, project: str) -> list[str]:
         """Registers the snapshot as temporary views nodes, edges, files, and one
@@ -155,35 +197,72 @@ class Engine:
         """Indexes a tree; files that did not change keep their facts.
         ``answers(file_path, line, target_file, target_line)`` of language
         servers upgrade unresolved calls."""
-        began = time.time()
+        took = Phases()
         root = repo_path.rstrip("/")
         project = self._allocate(root, name)
         tree = repo.listing(self.spark, root)
-        tree = repo.candidates(tree, repo.ignore_rules(tree))
+        tree = repo.candidates(tree, repo.ignore_rules(tree, root)).checkpoint()
         before = None if full else self.store.current(project)
+        took("walk")
+        if before is None:
+            files = removed = None
+        else:
+            # size and time decide what is read; contents decide what is parsed
+            known = self._files(before)
+            differs = coverage.stale(tree, known).checkpoint()
+            read = repo.classified(repo.with_content(tree.join(differs, "path", "left_semi"))).checkpoint()
+            recorded = known.join(differs, "path", "left_semi")
+            change = {r["change"]: r["n"] for r in _rows(coverage.changes(read, recorded).groupBy("change").agg(F.count("*").alias("n")))}
+            removed = change.get("removed", 0)
+            took("hash")
+            if not set(change) - {"unchanged"} and answers is None:
+                if change:
+                    before.append("times", read.select("path", "mtime_ns", F.lit(time.time_ns()).alias("noted_at")))
+                return self._report(project, root, before, {"files_reparsed": 0, "files_removed": 0}, took)
+            same = known.join(differs, "path", "left_anti")
+            partial = F.col("status") == "parse_partial"
+            same = same.withColumns({"reason": F.when(~partial, F.col("reason")), "detail": F.when(~partial, F.col("detail"))}).withColumn("status", F.when(partial, "indexed").otherwise(F.col("status")))
+            files = read.unionByName(same.select(read.columns))
         v = self.store.begin(project)
-        seen = repo.with_content(tree)
-        found = manifests.discover(self.spark, seen)
-        files = v.put("raw", repo.classified(seen).repartition(F.xxhash64("path")))
-        known = build.parse(files) if before is None else build.refreshed(files, before.get("files"), before.get("extracts"))
-        parsed = files if before is None else files.join(before.get("files").select("path", "hash"), ["path", "hash"], "left_anti")
-        removed = 0 if before is None else before.get("files").join(files, "path", "left_anti").count()
-        extracts = v.put("extracts", known)
-        counts = {"files_seen": files.count(), "files_reparsed": parsed.where("status = 'indexed'").count(), "files_removed": removed}
+        if files is None:
+            files = repo.classified(repo.with_content(tree))
+        files = v.put("raw", files.repartition(F.xxhash64("path")))
+        found = manifests.discover(self.spark, repo.with_content(tree.where(manifests.wanted())))
+        took("hash")
+        extracts = v.put("extracts", build.parse(files) if before is None else build.refreshed(files, known, before.get("extracts")))
+        parsed = files if before is None else files.join(known.select("path", "hash"), ["path", "hash"], "left_anti")
+        counts = {"files_reparsed": parsed.where("status = 'indexed'").count(), "files_removed": removed or 0}
+        took("parse")
         g = build.build(files, extracts, found, lambda table, df: v.put(table, df) if table != "edges" else df)
+        took("load_facts")
         edges = g.edges
         if answers is not None:
             edges = self._answered(g.nodes, edges, answers)
+            took("answers")
         if before is not None:
             edges = self._kept_traces(before, g.nodes, edges)
         v.put("edges", edges)
+        took("resolve_edges")
         self.store.delete(f"{v.path}/raw")
         v.commit()
         now = int(self.clock())
         entry = self.spark.createDataFrame([(project, name or root.rsplit("/", 1)[-1], root, v.path, now)], s.PROJECTS)
         self._save_catalog(self.catalog().where(F.col("id") != project).unionByName(entry))
-        census = {r["key"]: r["n"] for r in _rows(graph.edge_census(v.get("edges"))) if r["kind"] == "type"}
-        return {"project": project, **counts, "nodes": v.get("nodes").count(), "edges": sum(census.values()), "edge_types": census, "duration_ms": int((time.time() - began) * 1000)}
+        return self._report(project, root, v, counts, took)
+
+    def _report(self, project, root, v: Version, counts: dict, took: Phases) -> dict:
+        files, nodes = self._files(v), v.get("nodes")
+        c = _rows(coverage.summary(files))[0]
+        census = {r["key"]: r["n"] for r in _rows(graph.edge_census(self._edges(v))) if r["kind"] == "type"}
+        partial = files.where("status = 'parse_partial'").orderBy("path").limit(EXAMPLES).select("path")
+        out = {
+            "project": project, "root": root, "store_path": v.path, "nodes": nodes.count(), "edges": sum(census.values()), "edge_types": census,
+            "files_seen": c["total"], "files_indexed": c["indexed"], "files_parse_partial": c["parse_partial"], "files_skipped": c["skipped"], **counts,
+            "files_unchanged": c["indexed"] + c["parse_partial"] - counts["files_reparsed"], "languages": {r["language"]: r["n"] for r in _rows(graph.language_counts(nodes))},
+            "parse_partial_examples": [r["path"] for r in partial.collect()], "skipped_examples": _rows(coverage.sample(files.where("status = 'skipped'"), EXAMPLES)), "bundled_languages": list(s.LANGUAGES),
+        }
+        took("report")
+        return {**out, **took.report()}
 
     def _answered(self, nodes, edges, answers):
         own = nodes.select(F.col("id").alias("src"), F.col("file_path").alias("from_file"))
@@ -197,7 +276,7 @@ class Engine:
         old = before.get("nodes").select("id", "qualified_name", "file_path")
         now = nodes.groupBy("qualified_name", "file_path").agg(F.min("id").alias("new"))
         to = old.join(now, ["qualified_name", "file_path"]).select("id", "new")
-        t = before.get("edges").where("edge_type = 'IMPACTS'")
+        t = self._edges(before).where("edge_type = 'IMPACTS'")
         t = t.join(to.select(F.col("id").alias("src"), F.col("new").alias("s2")), "src").join(to.select(F.col("id").alias("dst"), F.col("new").alias("d2")), "dst")
         t = t.withColumns({"src": F.col("s2"), "dst": F.col("d2"), "id": -F.xxhash64("s2", "d2", "detail")})
         return edges.unionByName(t.select(edges.columns))
@@ -228,7 +307,7 @@ class Engine:
         out = {"paths": [], "scopes": []}
         if paths:
             tree = repo.listing(self.spark, root)
-            rules, there = repo.ignore_rules(tree), {r["path"] for r in tree.where(F.col("path").isin(*paths)).select("path").collect()}
+            rules, there = repo.ignore_rules(tree, root), {r["path"] for r in tree.where(F.col("path").isin(*paths)).select("path").collect()}
             asked = self.spark.createDataFrame([(repo.safe_relative(p), rules.excluded(p), p in there) for p in paths], "path string, excluded boolean, present boolean")
             out["paths"] = _rows(coverage.classify_paths(asked, g.files).orderBy("path"))
         more, total = False, 0
@@ -245,7 +324,7 @@ class Engine:
         g, n, at = self.open(project), paging.clamp(limit, 200), paging.offset_of(cursor)
         root = self.catalog().where(F.col("id") == self._project(project)).first()["root"]
         tree = repo.listing(self.spark, root)
-        tree = repo.candidates(tree, repo.ignore_rules(tree))
+        tree = repo.candidates(tree, repo.ignore_rules(tree, root))
         # only files whose size or time differ are read
         differs = coverage.stale(tree, g.files)
         read = repo.classified(repo.with_content(tree.join(differs, "path", "left_semi"))).select("path", "hash")
@@ -261,20 +340,23 @@ class Engine:
     @call
     def search_graph(self, project, name=None, query=None, qualified_name=None, name_pattern=None, label=None, file_pattern=None, limit=None, cursor=None):
         if query is not None and name is None and name_pattern is None:
-            name, name_pattern = (None, query) if set(query) & set("^$.*+?[](){}|\\") else (query, None)
+            name, name_pattern = (None, query) if set(query) & PATTERN_SIGNS else (query, None)
         g, n, at = self.open(project), paging.clamp(limit, 50), paging.offset_of(cursor)
         hits = search.search(g.nodes, name=name, qualified_name=qualified_name, name_pattern=name_pattern, label=label, file_pattern=file_pattern)
         page = paging.page(hits, search.SEARCH_ORDER, n, at)
-        rows = _rows(graph.degrees(page, g.edges).orderBy(*search.SEARCH_ORDER).select("qualified_name", "name", "label", "file_path", "start_line", "end_line", "language", "signature", "in_degree", "out_degree"))
+        rows = _rows(graph.degrees(page, g.edges, few=True).orderBy(*search.SEARCH_ORDER).select("qualified_name", "name", "label", "file_path", "start_line", "end_line", "language", "signature", "in_degree", "out_degree"))
         out = {"results": rows, **paging.page_info(hits.count(), len(rows), at, n, exact=True)}
         return out if rows else {**out, "note": "no symbol matches; coverage may explain why"}
 
     @call
     def query_graph(self, project, start, hops=(), limit=None, cursor=None):
         g, n, at = self.open(project), paging.clamp(limit, 50), paging.offset_of(cursor)
-        start = {"qualified_name": start} if isinstance(start, str) else start
+        start = dict({"qualified_name": start} if isinstance(start, str) else start)
+        asked = start.pop("query", None)
+        if asked is not None and not start.keys() & {"name", "name_pattern", "qualified_name"}:
+            start["name_pattern" if set(asked) & PATTERN_SIGNS else "name"] = asked
         starts = search.search(g.nodes, **start).orderBy(*search.SEARCH_ORDER).limit(paging.MOST)
-        hops = [{**h, "edge": h.get("edge") or h.get("edge_type")} for h in hops]
+        hops = [{"edge": h} if isinstance(h, str) else {**h, "edge": h.get("edge") or h.get("edge_type")} for h in hops]
         paths = graph.pattern(starts, g.nodes, g.edges, hops)
         keys = [f"n{i}.qualified_name" for i in range(len(hops) + 1)]
         rows = [{"path": list(r.values())} for r in _rows(paging.page(paths, keys, n, at))]
@@ -290,7 +372,11 @@ class Engine:
         return g.nodes.where(F.col("id") == rows[0]["id"])
 
     @call
-    def trace_path(self, project, qualified_name=None, name=None, direction="both", depth=3, limit=None, cursor=None):
+    def trace_path(self, project, qualified_name=None, name=None, direction="both", depth=3, limit=None, cursor=None, **also):
+        """Callers and callees; ``from`` is another word for ``name``."""
+        name = name or also.pop("from", None)
+        if also:
+            raise GraphError("invalid_argument", f"unknown argument '{min(also)}'")
         g, n, at = self.open(project), paging.clamp(limit, 100), paging.offset_of(cursor)
         root = self._symbol(g, qualified_name or name or "")
         way = graph.direction(direction)
@@ -302,7 +388,7 @@ class Engine:
             out |= {side: page, f"{side}_total": total}
             more = more or at + len(page) < total
         un = graph.unresolved_of(root, g.nodes, g.edges) if way != graph.IN else None
-        out["unresolved"] = _rows(un.orderBy("callee_name", "line").limit(paging.MOST)) if un is not None else []
+        out |= _first("unresolved", un, ["callee_name", "line"]) if un is not None else {"unresolved": [], "unresolved_total": 0, "unresolved_cut": False}
         return {**out, "has_more": more, "cursor": str(at + n) if more else None}
 
     @call
@@ -335,15 +421,14 @@ class Engine:
         }
 
     @call
-    def search_code(self, project, pattern=None, query=None, regex=False, case_sensitive=True, file_pattern=None, limit=None, cursor=None):
-        pattern = pattern if pattern is not None else query
+    def search_code(self, project, pattern=None, query=None, regex=False, case_sensitive=True, file_pattern=None, path=None, limit=None, cursor=None):
+        pattern, file_pattern = pattern if pattern is not None else query, file_pattern if file_pattern is not None else path
         if not pattern:
             raise GraphError("invalid_argument", "a pattern is needed")
         if regex:
             checked(pattern)
         g, n, at = self.open(project), paging.clamp(limit, 50), paging.offset_of(cursor)
-        lines = search.lines_of(g.files.where("status <> 'skipped'"))
-        hits = search.search_lines(lines, pattern, regex=regex, case_sensitive=case_sensitive, file_pattern=file_pattern).withColumnRenamed("path", "file_path")
+        hits = search.search_files(g.files.where("status <> 'skipped'"), pattern, regex=regex, case_sensitive=case_sensitive, file_pattern=file_pattern).withColumnRenamed("path", "file_path")
         page = paging.page(hits, ["file_path", "line"], n, at).withColumn("id", F.concat_ws(":", "file_path", "line"))
         inner = graph.innermost(page, g.nodes.where("label not in ('File', 'Package')"))
         name = g.nodes.select(F.col("id").alias("span_id"), F.col("qualified_name").alias("in_symbol"))
@@ -375,7 +460,7 @@ class Engine:
         key = self._project(project)
         have = self._adrs(key)
         if mode == "list":
-            return {"adrs": _rows(have.orderBy("id").limit(paging.MOST))}
+            return _first("adrs", have, ["id"])
         if not id:
             raise GraphError("invalid_argument", "an id is needed")
         row = have.where(F.col("id") == id).first()
@@ -391,8 +476,11 @@ class Engine:
             raise GraphError("invalid_argument", f"unknown mode '{mode}'")
         names = list(dict.fromkeys(related_qualified_names))
         n = self.open(project).nodes
-        hits = _rows(graph.ranked_by_name(n.where(F.col("qualified_name").isin(*names))).select("qualified_name", "file_path", "start_line")) if names else []
-        linked = {r["qualified_name"]: r for r in hits}
+        linked = {}
+        for x in names:
+            hits = _rows(graph.ranked_by_name(search.resolve_symbol(n, x)).select("qualified_name", "file_path", "start_line").limit(2))
+            if len(hits) == 1:  # a name that several symbols have links none
+                linked[x] = hits[0]
         entry = (id, title or (row["title"] if row else id), status, body, [linked[x] for x in names if x in linked], int(self.clock()))
         self.records.write(f"adr-{key}", adrs=rest.unionByName(self.spark.createDataFrame([entry], s.ADRS)).coalesce(1))
         return {"saved": id, "related": [linked[x] for x in names if x in linked], "unresolved": [x for x in names if x not in linked]}
@@ -406,12 +494,7 @@ class Engine:
         linked = resolve.link_traces(seen, v.get("nodes")).checkpoint()
         good = linked.where("src is not null and dst is not null")
         blank = {"edge_type": F.lit("IMPACTS"), "source": F.lit("trace"), "confidence": F.lit(1.0).cast("float"), "target_name": F.col("callee"), "line": F.lit(None).cast("int")}
-        edges = v.get("edges")
         fresh = good.withColumns(blank).withColumn("id", -F.xxhash64("src", "dst", "detail", F.lit(self.clock())))
-        new = self.store.begin(key)
-        for t in ("files", "extracts", "nodes"):
-            new.put(t, v.get(t))
-        new.put("edges", edges.unionByName(fresh.select(edges.columns)))
-        new.commit()
+        v.append("traces", fresh.select(v.get("edges").columns))
         bad = linked.where("src is null or dst is null")
-        return {"linked": good.count(), "unmatched": _rows(bad.select("caller", "callee").orderBy("caller", "callee").limit(paging.MOST))}
+        return {"linked": good.count(), **_first("unmatched", bad.select("caller", "callee"), ["caller", "callee"])}

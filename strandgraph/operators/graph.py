@@ -37,12 +37,23 @@ def of_types(edges: DataFrame, types) -> DataFrame:
     return edges.where(F.col("edge_type").isin(*types)) if types else edges
 
 
-def degrees(nodes: DataFrame, edges: DataFrame, types=None) -> DataFrame:
+def degrees(nodes: DataFrame, edges: DataFrame, types=None, few: bool = False) -> DataFrame:
     """``nodes`` with in_degree and out_degree; parallel edges count, and
-    unresolved ones count only where they leave."""
+    unresolved ones count only where they leave. ``few``: nodes are a page of
+    bounded size, so edges elsewhere are left out before they are counted."""
     e = of_types(edges, types).select("src", "dst")
+    if few:
+        own = F.broadcast(nodes.select("id"))
+        out = e.join(own.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i"))
+        in_ = e.join(own.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+        d = out.unionByName(in_).groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+        return _with_degrees(nodes, d)
     ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
     d = e.select(ends.alias("e")).select("e.*").where(F.col("id") != UNRESOLVED).groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    return _with_degrees(nodes, d)
+
+
+def _with_degrees(nodes: DataFrame, d: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return nodes.join(d, "id", "left").select(nodes["*"], zero("in_degree"), zero("out_degree"))
 
@@ -60,19 +71,22 @@ def pattern(starts: DataFrame, nodes: DataFrame, edges: DataFrame, hops: list[di
     ``starts``: columns n0, n1, ... of (qualified_name, label, file_path,
     start_line, end_line, via_edge). One row for each tuple of qualified names;
     of several, the one with the least places."""
-    cell = lambda via: F.struct("qualified_name", "label", "file_path", "start_line", "end_line", via.alias("via_edge"))
-    paths = starts.select(F.col("id").alias("at"), cell(F.lit(None).cast("string")).alias("n0"))
+    # paths are ids until the end; those that parallel edges repeat are one after each hop
+    paths = starts.select(F.col("id").alias("i0")).distinct()
     for k, hop in enumerate(hops, 1):
         if hop.get("label") is not None and hop["label"] not in NODE_LABELS:
             raise GraphError("invalid_argument", f"unknown label '{hop['label']}'")
         e = of_types(edges, [hop["edge"]]).where(F.col("dst") != UNRESOLVED)
         near, far = ("src", "dst") if direction(hop.get("direction")) == OUT else ("dst", "src")
-        e = e.select(F.col(near).alias("at"), F.col(far).alias("next"), F.col("edge_type").alias("via")).distinct()
-        n = nodes if hop.get("label") is None else nodes.where(F.col("label") == hop["label"])
-        n = n.select(F.col("id").alias("next"), "qualified_name", "label", "file_path", "start_line", "end_line")
-        done = [f"n{i}" for i in range(k)]
-        paths = paths.join(e, "at").join(n, "next").select(F.col("next").alias("at"), *done, cell(F.col("via")).alias(f"n{k}"))
+        e = e.select(F.col(near).alias(f"i{k - 1}"), F.col(far).alias(f"i{k}"))
+        paths = paths.join(e, f"i{k - 1}").distinct()
+        if hop.get("label") is not None:
+            paths = paths.join(nodes.where(F.col("label") == hop["label"]).select(F.col("id").alias(f"i{k}")), f"i{k}", "left_semi")
     cells = [f"n{i}" for i in range(len(hops) + 1)]
+    for k, name in enumerate(cells):
+        via = F.lit(hops[k - 1]["edge"] if k else None).cast("string").alias("via_edge")
+        cell = F.struct("qualified_name", "label", "file_path", "start_line", "end_line", via)
+        paths = paths.join((starts if not k else nodes).select(F.col("id").alias(f"i{k}"), cell.alias(name)), f"i{k}").drop(f"i{k}")
     names = [F.col(f"{c}.qualified_name").alias(f"q{i}") for i, c in enumerate(cells)]
     least = paths.select(*names, F.struct(*cells).alias("cells")).groupBy(*[f"q{i}" for i in range(len(cells))]).agg(F.min("cells").alias("cells"))
     return least.select("cells.*")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 GAP_SECONDS = 1800
 LOOK_AHEAD = 7
 CHUNK = 65_536
-SLICE_SECONDS = 3600
+SLICE_SECONDS = 60
 DAY = 86_400
 
 # Calls that use the graph, and those that walk it.
@@ -112,21 +112,29 @@ def projects(journal: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Usage of each project, most calls first, with counts by tool and error."""
     j = followed(numbered(resolved(journal, aliases)))
     cut = F.col("has_more") == True  # noqa: E712
-    key = F.coalesce("canonical", F.lit(""))
-    j = j.withColumn("key", key)
-    main = j.groupBy("key").agg(
-        F.min("canonical").alias("project"), F.count("*").alias("calls"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("fail"),
-        F.count_if(F.col("tool").isin(*GRAPH_TOOLS)).alias("graph_calls"), F.count_if(F.col("tool") == "search_code").alias("text_search_calls"),
+    # one row for each (project, tool, error); everything else is sums of these
+    by = j.groupBy("canonical", "tool", "error_code").agg(
+        F.count("*").alias("calls"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("fail"),
         F.count_if(F.array_contains("argument_keys", "cursor")).alias("pages_requested"), F.count_if(cut).alias("truncated_responses"),
         F.count_if(cut & F.col("followed")).alias("paged_followthrough"), F.min("at_unix").alias("first_at_unix"), F.max("at_unix").alias("last_at_unix"),
     )
-    maps = {}
-    for name, column in (("by_tool", "tool"), ("by_error_code", "error_code")):
-        c = j.where(F.col(column).isNotNull()).groupBy("key", column).agg(F.count("*").alias("c"))
-        maps[name] = c.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "c")))).alias(name))
-    out = main.join(maps["by_tool"], "key", "left").join(maps["by_error_code"], "key", "left").drop("key")
-    empty = F.map_from_entries(F.array().cast("array<struct<a:string,b:bigint>>"))
-    return out.withColumn("by_tool", F.coalesce("by_tool", empty)).withColumn("by_error_code", F.coalesce("by_error_code", empty)).orderBy(F.desc("calls"), F.asc_nulls_first("project"))
+    of_tools = lambda *t: F.coalesce(F.sum(F.when(F.col("tool").isin(*t), F.col("calls"))), F.lit(0))
+    sums = [F.sum(c).alias(c) for c in ("calls", "ok", "fail", "pages_requested", "truncated_responses", "paged_followthrough")]
+    main = by.groupBy(F.coalesce("canonical", F.lit("")).alias("key")).agg(
+        F.min("canonical").alias("project"), *sums, of_tools(*GRAPH_TOOLS).alias("graph_calls"), of_tools("search_code").alias("text_search_calls"),
+        F.min("first_at_unix").alias("first_at_unix"), F.max("last_at_unix").alias("last_at_unix"),
+        F.collect_list(F.struct("tool", "error_code", "calls")).alias("each"),
+    )
+
+    def counted(column: str):
+        """Calls by a column: a project has few tools and errors."""
+        some = F.array_sort(F.array_distinct(F.filter(F.transform("each", lambda x: x[column]), lambda v: v.isNotNull())))
+        total = lambda v: F.aggregate(F.filter("each", lambda x: x[column] == v), F.lit(0).cast("bigint"), lambda a, x: a + x["calls"])
+        return F.map_from_entries(F.transform(some, lambda v: F.struct(v, total(v))))
+
+    out = main.select("*", counted("tool").alias("by_tool"), counted("error_code").alias("by_error_code"))
+    names = ["project", "calls", "ok", "fail", "graph_calls", "text_search_calls", "pages_requested", "truncated_responses", "paged_followthrough", "first_at_unix", "last_at_unix", "by_tool", "by_error_code"]
+    return out.select(*names).orderBy(F.desc("calls"), F.asc_nulls_first("project"))
 
 
 def sequences(journal: DataFrame, limit: int = 10) -> DataFrame:

@@ -23,6 +23,11 @@ def matches(column: Column, pattern: str) -> Column:
     return column.startswith(prefix) & found if prefix else found
 
 
+def name_key(nodes: DataFrame) -> Column:
+    """The lower-case name: a stored column where a snapshot is sorted by it."""
+    return F.col("name_key") if "name_key" in nodes.columns else F.lower("name")
+
+
 def search(nodes: DataFrame, *, name=None, qualified_name=None, name_pattern=None, label=None, file_pattern=None, scope=None, prefix_compat=False) -> DataFrame:
     """Nodes that meet every criterion given. Names compare without case,
     patterns with case. ``prefix_compat`` makes a name pattern match only names
@@ -35,11 +40,11 @@ def search(nodes: DataFrame, *, name=None, qualified_name=None, name_pattern=Non
     if qualified_name is not None:
         out = out.where(F.col("qualified_name") == qualified_name)
     if name is not None:
-        out = out.where(F.lower("name") == name.lower())
+        out = out.where(name_key(out) == name.lower())
     if name_pattern is not None:
         out = out.where(matches(F.col("name"), name_pattern))
         if prefix_compat and (prefix := literal_prefix(name_pattern)):
-            out = out.where(F.lower("name").startswith(prefix.lower()))
+            out = out.where(name_key(out).startswith(prefix.lower()))
     if file_pattern is not None:
         out = out.where(matches(F.col("file_path"), file_pattern))
     if scope is not None:
@@ -49,7 +54,7 @@ def search(nodes: DataFrame, *, name=None, qualified_name=None, name_pattern=Non
 
 def by_name_prefix(nodes: DataFrame, prefix: str, cap: int = PREFIX_CAP) -> DataFrame:
     """The first ``cap`` nodes whose name begins with ``prefix`` in any case."""
-    key = F.lower("name")
+    key = name_key(nodes)
     return nodes.where(key.startswith(prefix.lower())).orderBy(key, "id").limit(cap)
 
 
@@ -57,7 +62,7 @@ def resolve_symbol(nodes: DataFrame, symbol: str) -> DataFrame:
     """Candidates for a symbol that a user wrote: exact qualified names, or
     else names without case; by qualified name."""
     exact = nodes.where(F.col("qualified_name") == symbol).withColumn("tier", F.lit(0))
-    loose = nodes.where((F.lower("name") == symbol.lower()) & (F.col("qualified_name") != symbol)).withColumn("tier", F.lit(1))
+    loose = nodes.where((name_key(nodes) == symbol.lower()) & (F.col("qualified_name") != symbol)).withColumn("tier", F.lit(1))
     both = exact.unionByName(loose)
     first = both.agg(F.min("tier").alias("tier"))
     return both.join(F.broadcast(first), "tier").drop("tier").orderBy("qualified_name", "file_path", "start_line")
@@ -70,6 +75,17 @@ def lines_of(files: DataFrame, path: str = "path", text: str = "text") -> DataFr
     return each.select("path", (F.col("line") + 1).alias("line"), "text")
 
 
+def search_files(files: DataFrame, pattern: str, *, regex=False, case_sensitive=True, file_pattern=None) -> DataFrame:
+    """``search_lines`` over the lines of ``files``. Files that cannot hold the
+    pattern are left out before any text is split."""
+    if file_pattern is not None:
+        files = files.where(matches(F.col("path"), file_pattern))
+    if not regex and "\n" not in pattern and "\r" not in pattern:
+        text = F.col("text") if case_sensitive else F.lower("text")
+        files = files.where(text.contains(pattern if case_sensitive else pattern.lower()))
+    return search_lines(lines_of(files), pattern, regex=regex, case_sensitive=case_sensitive)
+
+
 def search_lines(lines: DataFrame, pattern: str, *, regex=False, case_sensitive=True, file_pattern=None) -> DataFrame:
     """Lines that hold ``pattern``; text without trailing space, at most
     ``MAX_TEXT`` characters of it."""

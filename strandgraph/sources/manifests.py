@@ -66,14 +66,17 @@ def ts_aliases(path: str, texts: dict[str, str]) -> list[tuple]:
     return [(posixpath.dirname(path), *r, i) for i, r in enumerate(rows)]
 
 
+def wanted():
+    """Whether a path may name a manifest, or a file that one extends."""
+    name = basename(F.col("path"))
+    return (F.size(F.split("path", "/")) <= MAX_DEPTH) & (name.isin(*NAMES) | name.rlike(r"^[tj]sconfig\..*\.json$|^tsconfig.*\.json$"))
+
+
 def discover(spark: SparkSession, tree: DataFrame) -> dict[str, DataFrame]:
     """Frames ``aliases``, ``dart`` and ``go`` of the manifests of a tree of
     (path, content). Only manifests, small files near the root, reach the
     driver; extended files need the name of a manifest or end in .json."""
-    near = F.size(F.split("path", "/")) <= MAX_DEPTH
-    name = basename(F.col("path"))
-    wanted = name.isin(*NAMES) | name.rlike(r"^[tj]sconfig\..*\.json$|^tsconfig.*\.json$")
-    rows = tree.where(near & wanted & (F.length("content") < 1 << 20)).select("path", F.col("content").cast("string").alias("t")).collect()
+    rows = tree.where(wanted() & (F.length("content") < 1 << 20)).select("path", F.col("content").cast("string").alias("t")).collect()
     texts = {r["path"]: r["t"] for r in rows}
     aliases, dart, go = [], [], []
     for path, text in sorted(texts.items()):

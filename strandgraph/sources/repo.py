@@ -97,11 +97,31 @@ def with_content(tree: DataFrame) -> DataFrame:
     return tree.repartition(F.xxhash64("path")).mapInArrow(run, tree.selectExpr("*", "cast(null as binary) as content").schema)
 
 
-def ignore_rules(tree: DataFrame) -> Ignore:
-    """Rules of the tree's .gitignore and .ignore files, outer folders first.
-    Only those small files reach the driver."""
+def outer_rules(spark: SparkSession, root: str, out: Ignore) -> None:
+    """Rules from outside a tree's own files: the user's global ones, and the
+    repository's info/exclude, which count before all others."""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    local = base.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    for at in ([f"file:{home}/git/ignore"] if local else []) + [f"{root.rstrip('/')}/.git/info/exclude"]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path) and fs.getFileStatus(path).getLen() < s.MAX_FILE_BYTES:
+            stream = fs.open(path)
+            try:
+                out.add(bytes(stream.readAllBytes()).decode("utf-8", "replace"), "")
+            finally:
+                stream.close()
+
+
+def ignore_rules(tree: DataFrame, root: str | None = None) -> Ignore:
+    """Rules of the tree's .gitignore and .ignore files, outer folders first,
+    after those from outside where ``root`` is given. Only those small files
+    reach the driver."""
     own = tree.where(basename(F.col("path")).isin(".gitignore", ".ignore") & (F.col("size") < s.MAX_FILE_BYTES))
     out = Ignore()
+    if root is not None:
+        outer_rules(tree.sparkSession, root, out)
     rows = [r for r in with_content(own).select("path", "content").collect() if r["content"] is not None]
     for r in sorted(rows, key=lambda r: (r["path"].count("/"), r["path"])):
         out.add(bytes(r["content"]).decode("utf-8", "replace"), r["path"].rpartition("/")[0])

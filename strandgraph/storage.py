@@ -7,13 +7,30 @@ reader never sees a half-written one, and writers never change files."""
 from __future__ import annotations
 
 import re
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandgraph.schema import SCHEMA_VERSION, GraphError
 
 MARKER = "complete"
+#: Columns that a table's files are dealt out and sorted by, so that look-ups by
+#: them read few row groups.
+LAYOUT = {"nodes": ("name_key", "qualified_name"), "edges": ("src", "edge_type")}
+
+
+def checkpoint_folder(spark: SparkSession, shared: str | None = None) -> str:
+    """The session's folder for checkpoints: its own setting, else ``shared``; a
+    temporary one only where all of Spark runs in this process."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        base = spark.conf.get("spark.checkpoint.dir", None) or shared
+        if not base and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise GraphError("no_checkpoint_folder", "set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="strandgraph-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 class Store:
@@ -66,9 +83,21 @@ class Version:
         self.path = f"{store.base(name)}/v{number}"
 
     def put(self, table: str, df: DataFrame) -> DataFrame:
+        if "name" in df.columns and table == "nodes":
+            df = df.withColumn("name_key", F.lower("name"))
+        by = [c for c in LAYOUT.get(table, ()) if c in df.columns]
+        if by:
+            df = df.repartitionByRange(*by).sortWithinPartitions(*by)
         df.write.parquet(f"{self.path}/{table}")
         return self.get(table)
 
+    def append(self, table: str, df: DataFrame) -> None:
+        """Adds rows to a small table beside those of a complete version."""
+        df.write.mode("append").parquet(f"{self.path}/{table}")
+
+    def has(self, table: str) -> bool:
+        return self.store.exists(f"{self.path}/{table}")
+
     def get(self, table: str) -> DataFrame:
         return self.store.spark.read.parquet(f"{self.path}/{table}")
 

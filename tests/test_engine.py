@@ -86,7 +86,7 @@ def test_changes_refresh_traces_records(engine, tree):
     write(tree, {"orders/app/extra.py": "def helper(x):\n    return x\n"})
     d = engine.detect_changes(project="shop")
     assert (d["added"], [f["path"] for f in d["files"]]) == (1, ["orders/app/extra.py"])
-    assert engine.ingest_traces(project="shop", traces=[{"caller": "orders.app.repository.walk", "callee": "list", "count": 3}, {"caller": "x", "callee": "y"}]) == {"linked": 1, "unmatched": [{"caller": "x", "callee": "y"}]}
+    assert engine.ingest_traces(project="shop", traces=[{"caller": "orders.app.repository.walk", "callee": "list", "count": 3}, {"caller": "x", "callee": "y"}]) == {"linked": 1, "unmatched": [{"caller": "x", "callee": "y"}], "unmatched_total": 1, "unmatched_cut": False}
     r = engine.index_repository(repo_path=tree)
     assert (r["project"], r["files_reparsed"], r["edge_types"]["IMPACTS"]) == ("shop", 1, 1)
     t = engine.trace_path(project="shop", name="save_order", direction="out")
@@ -96,6 +96,47 @@ def test_changes_refresh_traces_records(engine, tree):
     assert engine.manage_adr(project="shop", mode="delete", id="1") == {"deleted": True} and engine.manage_adr(project="shop")["adrs"] == []
 
 
+def test_unchanged_trees_are_not_read(engine, tree, monkeypatch):
+    """Nothing changed: no file is read; a touched file is read but not parsed."""
+    import os
+
+    from strandgraph.sources import repo
+
+    asked = []
+    plain = repo.with_content
+    monkeypatch.setattr(repo, "with_content", lambda t: asked.append(t.where("path like '%.py'").count()) or plain(t))
+    before = engine.store.versions("shop")
+    r = engine.index_repository(repo_path=tree)
+    assert (r["files_reparsed"], r["files_removed"]) == (0, 0) and r["files_unchanged"] >= 5 and sum(asked) == 0
+    assert set(r["phase_ms"]) >= {"walk", "hash", "parse", "resolve_edges"} and r["languages"]["python"] >= 4 and r["skipped_examples"]
+    os.utime(f"{tree}/orders/app/extra.py", (1, 1))
+    assert engine.index_repository(repo_path=tree)["files_reparsed"] == 0 and sum(asked) == 1
+    assert engine.index_repository(repo_path=tree)["files_reparsed"] == 0 and sum(asked) == 1
+    assert engine.store.versions("shop") == before and engine.detect_changes(project="shop")["unchanged"] >= 5
+
+
+def test_forms_of_arguments(engine):
+    q = engine.query_graph(project="shop", start={"query": "^save_"}, hops=["CALLS"])
+    assert q["total"] >= 1 and engine.query_graph(project="shop", start={"query": "save_order"}, hops=["CALLS"])["total"] >= 1
+    assert engine.trace_path(project="shop", **{"from": "save_order"})["callees_total"] >= 1
+    with pytest.raises(GraphError):
+        engine.trace_path(project="shop", name="save_order", nonsense=1)
+    assert engine.search_code(project="shop", pattern="helper", path="repository")["total"] >= 1
+    out = engine.manage_adr(project="shop", mode="save", id="2", related_qualified_names=["SAVE_ORDER", "create_order"])
+    assert [x["qualified_name"] for x in out["related"]] == ["orders.app.repository.save_order"] and out["unresolved"] == ["create_order"]
+
+
+def test_command_line():
+    from strandgraph.__main__ import asked, parser
+
+    of = lambda *a: asked(parser().parse_args(["--home", "h", *a]))
+    assert of("index", "/r", "--full") == ("index_repository", {"repo_path": "/r", "name": None, "full": True})
+    assert of("status") == ("list_projects", {}) and of("status", "p") == ("index_status", {"project": "p"}) and of("status", "--agent-usage") == ("usage", {})
+    assert of("query", "--project", "p", "--pattern", "^a") == ("search_graph", {"project": "p", "limit": 25, "name_pattern": "^a"})
+    assert of("changes", "p") == ("detect_changes", {"project": "p", "limit": 50}) and of("delete", "p") == ("delete_project", {"project": "p"})
+    assert of("trace_path", "project=p", "depth=2", "cursor=3") == ("trace_path", {"project": "p", "depth": 2, "cursor": "3"})
+
+
 def test_usage_and_streams(engine, home, spark, tmp_path, tree):
     u = engine.usage()
     assert u["total_calls"] == sum(u["by_tool"].values()) and u["fail"] == sum(u["by_error_code"].values()) >= 5 and u["graph_calls"] > 5
