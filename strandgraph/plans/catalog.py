@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import paths
 from strandgraph.operators import coverage, graph, journal, mutate, paging, resolve, search
 from strandgraph.sources import views
+from strandgraph.storage import checkpoint_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -94,13 +94,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _scratch(spark: SparkSession):
-    """Loops checkpoint: into the session's own folder, or one of their own."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandgraph-"))
-
-
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, i AS (SELECT dst AS id, count(*) AS n FROM g_edges WHERE dst <> 0 GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM g_edges GROUP BY 1)
 SELECT qualified_name, label, file_path, start_line, CAST(coalesce(i.n, 0) AS BIGINT) AS in_degree, CAST(coalesce(o.n, 0) AS BIGINT) AS out_degree
 FROM g_nodes LEFT JOIN i USING (id) LEFT JOIN o USING (id) WHERE regexp_matches(name, '[13579]$') AND label IN ('Type', 'Interface')
@@ -173,26 +166,26 @@ def symbol_candidates(spark, d):
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT DISTINCT a.qualified_name AS q0, b.qualified_name AS q1, c.qualified_name AS q2, x.qualified_name AS q3
 FROM g_nodes a JOIN g_edges e ON e.src = a.id AND e.edge_type = 'CONTAINS' JOIN g_nodes b ON b.id = e.dst AND b.label = 'Class'
 JOIN g_edges f ON f.src = b.id AND f.edge_type = 'DEFINES' JOIN g_nodes c ON c.id = f.dst
-JOIN g_edges g ON g.src = c.id AND g.edge_type = 'CALLS' JOIN g_nodes x ON x.id = g.dst WHERE a.label = 'Module' AND a.name LIKE 'NATION_1%'""")
-def path_pattern(spark, d, only="name like 'NATION_1%'"):
+JOIN g_edges g ON g.src = c.id AND g.edge_type = 'CALLS' JOIN g_nodes x ON x.id = g.dst WHERE a.label = 'Module'""")
+def path_pattern(spark, d):
     n, e = views.g_nodes(spark, d), views.g_edges(spark, d)
     hops = [{"edge": "CONTAINS", "label": "Class"}, {"edge": "DEFINES", "direction": "out"}, {"edge": "CALLS"}]
-    out = graph.pattern(n.where("label = 'Module'").where(only), n, e, hops)
+    out = graph.pattern(n.where("label = 'Module'"), n, e, hops)
     return out.select(*[F.col(f"n{i}.qualified_name").alias(f"q{i}") for i in range(4)])
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT DISTINCT a.qualified_name AS callee, b.qualified_name AS caller FROM g_nodes a
-JOIN g_edges e ON e.dst = a.id AND e.edge_type = 'CALLS' JOIN g_nodes b ON b.id = e.src WHERE a.label = 'Interface' AND a.id % 10 = 3""")
-def inbound_pattern(spark, d, only="id % 10 = 3"):
+JOIN g_edges e ON e.dst = a.id AND e.edge_type = 'CALLS' JOIN g_nodes b ON b.id = e.src WHERE a.label = 'Interface'""")
+def inbound_pattern(spark, d):
     n, e = views.g_nodes(spark, d), views.g_edges(spark, d)
-    out = graph.pattern(n.where("label = 'Interface'").where(only), n, e, [{"edge": "CALLS", "direction": "in"}])
+    out = graph.pattern(n.where("label = 'Interface'"), n, e, [{"edge": "CALLS", "direction": "in"}])
     return out.select(F.col("n0.qualified_name").alias("callee"), F.col("n1.qualified_name").alias("caller"))
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT a.id AS start, e.dst AS other, e.edge_type, count(*) AS n FROM g_nodes a JOIN g_edges e ON e.src = a.id
-WHERE a.label = 'Class' AND a.id % 7 = 0 AND e.dst <> 0 GROUP BY 1, 2, 3""")
-def neighbours(spark, d, only="id % 7 = 0"):
-    starts = views.g_nodes(spark, d).where("label = 'Class'").where(only)
+WHERE a.label = 'Class' AND e.dst <> 0 GROUP BY 1, 2, 3""")
+def neighbours(spark, d):
+    starts = views.g_nodes(spark, d).where("label = 'Class'")
     return graph.neighbours(starts, views.g_edges(spark, d)).groupBy("start", "other", "edge_type").agg(F.count("*").alias("n"))
 
 
@@ -202,7 +195,7 @@ s AS (SELECT min(src) AS id FROM e),
 w AS (SELECT id, 0 AS hop FROM s UNION SELECT e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.id WHERE w.hop < 6)
 SELECT CAST(id AS BIGINT) AS id, CAST(min(hop) AS INTEGER) AS hop FROM w WHERE id <> (SELECT id FROM s) GROUP BY id""")
 def reach_on_cycles(spark, d):
-    _scratch(spark)
+    checkpoint_folder(spark)
     e = views.u_calls(spark, d).checkpoint()
     return graph.reach(e.agg(F.min("src").alias("id")), e, graph.OUT, 6)
 
@@ -213,27 +206,27 @@ up AS (SELECT DISTINCT e.src AS id FROM g_edges e JOIN r ON e.dst = r.id WHERE e
 SELECT 'callees' AS side, 1 AS hop, qualified_name, label, file_path, start_line FROM g_nodes JOIN down USING (id)
 UNION ALL SELECT 'callers', 1, qualified_name, label, file_path, start_line FROM g_nodes JOIN up USING (id)""")
 def trace_both_ways(spark, d):
-    _scratch(spark)
+    checkpoint_folder(spark)
     n = views.g_nodes(spark, d)
     return graph.trace(n.where("label = 'Type'").agg(F.min("id").alias("id")), n, views.g_edges(spark, d), graph.BOTH, 3)
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT a.qualified_name AS from_qualified_name, '' AS callee_name, e.line, 'unresolved' AS reason
-FROM g_edges e JOIN g_nodes a ON a.id = e.src WHERE e.edge_type = 'CALL_UNRESOLVED' AND a.id % 5 = 0""")
-def unresolved_calls(spark, d, only="id % 5 = 0"):
+FROM g_edges e JOIN g_nodes a ON a.id = e.src WHERE e.edge_type = 'CALL_UNRESOLVED'""")
+def unresolved_calls(spark, d):
     n, e = views.g_nodes(spark, d), views.g_edges(spark, d).withColumns({"target_name": F.lit(None).cast("string"), "detail": F.lit(None).cast("string")})
-    return graph.unresolved_of(n.where(only), n, e)
+    return graph.unresolved_of(n, n, e)
 
 
-@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT id FROM g_nodes WHERE label = 'Module' AND id % 25 = 4),
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT id FROM g_nodes WHERE label = 'Module'),
 b AS (SELECT src AS id, dst AS other FROM g_edges WHERE edge_type IN ('CONTAINS', 'DEFINES') UNION SELECT dst, src FROM g_edges WHERE edge_type IN ('CONTAINS', 'DEFINES')),
 one AS (SELECT DISTINCT other AS id FROM b JOIN s USING (id) WHERE other NOT IN (SELECT id FROM s)),
 two AS (SELECT DISTINCT other AS id FROM b JOIN one USING (id) WHERE other NOT IN (SELECT id FROM s) AND other NOT IN (SELECT id FROM one))
 SELECT id, 0 AS hop FROM s UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two""")
-def walk_nodes(spark, d, only="id % 25 = 4"):
-    _scratch(spark)
+def walk_nodes(spark, d):
+    checkpoint_folder(spark)
     n = views.g_nodes(spark, d)
-    return graph.walk(n.where("label = 'Module'").where(only), n, views.g_edges(spark, d), ["CONTAINS", "DEFINES"], None, 2, 1_000_000)[0]
+    return graph.walk(n.where("label = 'Module'"), n, views.g_edges(spark, d), ["CONTAINS", "DEFINES"], None, 2, 1_000_000)[0]
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, e AS (SELECT * FROM g_edges WHERE edge_type = 'CALLS'), t AS (SELECT id, count(*) AS score FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
@@ -292,15 +285,20 @@ def resolve_types(spark, d):
 
 
 @query("""WITH n AS (SELECT count(*) AS c FROM documents), f AS (SELECT doc_id + 1 AS id, source, lang, doc_id FROM documents),
-i AS (SELECT id, source, lang, '../' || lang || '/doc_' || ((doc_id * 7 + 3) % c) AS target, (doc_id * 7 + 3) % c AS k FROM f, n)
-SELECT i.id AS src, i.target, f.id AS dst FROM i JOIN f ON f.doc_id = i.k AND f.source = i.source AND f.lang = i.lang AND f.id <> i.id""")
+i AS (SELECT f.id, f.doc_id, (f.doc_id * 7 + 3) % c AS k FROM f, n),
+t AS (SELECT i.*, CASE WHEN i.doc_id % 5 = 0 THEN './gone' WHEN i.doc_id % 5 = 1 THEN g.source || '.' || g.lang || '.doc_' || k ELSE '../../' || g.source || '/' || g.lang || '/doc_' || k END AS target FROM i JOIN f g ON g.doc_id = i.k)
+SELECT id AS src, target, k + 1 AS dst FROM t WHERE doc_id % 5 <> 0 AND doc_id <> k""")
 def resolve_imports(spark, d):
+    """Relative imports, dotted modules, and some that lead nowhere."""
     docs = views.load(spark, d, "documents")
     n = docs.agg(F.count("*").alias("c"))
-    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".py"))
-    files = docs.select((F.col("doc_id") + 1).alias("id"), path.alias("path"))
-    target = F.concat(F.lit("../"), "lang", F.lit("/doc_"), ((F.col("doc_id") * 7 + 3) % F.col("c")).cast("string"))
-    imports = docs.crossJoin(F.broadcast(n)).select(path.alias("from_file"), target.alias("target"), F.lit(1).alias("line"))
+    stem = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"))
+    files = docs.select((F.col("doc_id") + 1).alias("id"), F.concat(stem, F.lit(".py")).alias("path"))
+    own = docs.crossJoin(F.broadcast(n)).select("doc_id", F.concat(stem, F.lit(".py")).alias("from_file"), ((F.col("doc_id") * 7 + 3) % F.col("c")).alias("k"))
+    other = docs.select(F.col("doc_id").alias("k"), stem.alias("stem"))
+    way = F.col("doc_id") % 5
+    target = F.when(way == 0, "./gone").when(way == 1, F.replace("stem", F.lit("/"), F.lit("."))).otherwise(F.concat(F.lit("../../"), "stem"))
+    imports = own.join(other, "k").select("from_file", target.alias("target"), F.lit(1).alias("line"))
     return resolve.resolve_imports(imports, files).select("src", "target", "dst")
 
 
@@ -336,12 +334,12 @@ def coverage_scope(spark, d):
     return coverage.in_scope(views.files(spark, d), "src1/").select("path", "status", "reason")
 
 
-@query(f"""WITH {FILES_SQL}, a AS (SELECT path, doc_id % 2 = 0 AS excluded FROM files WHERE doc_id % 3 = 0), k AS (SELECT * FROM files WHERE doc_id % 6 = 0)
+@query(f"""WITH {FILES_SQL}, a AS (SELECT path, doc_id % 2 = 0 AS excluded FROM files), k AS (SELECT * FROM files WHERE doc_id % 6 = 0)
 SELECT a.path, coalesce(k.status, CASE WHEN excluded THEN 'excluded' ELSE 'skipped' END) AS status, CASE WHEN k.path IS NULL THEN CASE WHEN excluded THEN 'gitignore' ELSE 'not_found' END ELSE k.reason END AS reason
 FROM a LEFT JOIN k ON k.path = a.path""")
-def classify_paths(spark, d, only="doc_id % 3 = 0"):
+def classify_paths(spark, d):
     f = views.files(spark, d).withColumns({"detail": F.lit(None).cast("string"), "language": F.lit(None).cast("string")})
-    asked = f.where(only).select("path", (F.col("doc_id") % 2 == 0).alias("excluded"), F.lit(False).alias("present"))
+    asked = f.select("path", (F.col("doc_id") % 2 == 0).alias("excluded"), F.lit(False).alias("present"))
     return coverage.classify_paths(asked, f.where("doc_id % 6 = 0")).select("path", "status", "reason")
 
 
@@ -389,19 +387,27 @@ def search_any_case(spark, d):
     return search.search_lines(search.lines_of(views.files(spark, d)), "LICENSED Under", case_sensitive=False)
 
 
-@query(f"""WITH {FILES_SQL}, n AS (SELECT doc_id AS id, path, string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) AS b, CAST(doc_id % 3 + 1 AS INTEGER) AS s FROM files WHERE doc_id % 4 = 0)
+@query(f"""WITH {FILES_SQL}, n AS (SELECT doc_id AS id, path, string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) AS b, CAST(doc_id % 3 + 1 AS INTEGER) AS s FROM files)
 SELECT id, greatest(s - 2, 1) AS from_line, CAST(least(s + 3, len(b)) AS INTEGER) AS to_line, coalesce(array_to_string(list_slice(b, greatest(s - 2, 1), least(s + 3, len(b))), chr(10)), '') AS source FROM n""")
-def snippets(spark, d, only="doc_id % 4 = 0"):
+def snippets(spark, d):
     f = views.files(spark, d)
     start = (F.col("doc_id") % 3 + 1).cast("int")
-    n = f.where(only).select(F.col("doc_id").alias("id"), F.col("path").alias("qualified_name"), F.col("path").alias("file_path"), start.alias("start_line"), (start + 1).alias("end_line"))
+    n = f.select(F.col("doc_id").alias("id"), F.col("path").alias("qualified_name"), F.col("path").alias("file_path"), start.alias("start_line"), (start + 1).alias("end_line"))
     return search.snippet(f, n, 2).select("id", "from_line", "to_line", "source")
 
 
-@query(f"""WITH {FOLLOW_SQL} SELECT count(*) AS total_calls, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS fail, min_by(at_unix, n) AS first_at_unix, max_by(at_unix, n) AS last_at_unix,
-count(*) FILTER (cur) AS pages_requested, count(*) FILTER (has_more) AS truncated_responses, count(*) FILTER (has_more AND followed) AS paged_followthrough FROM f""")
+@query(f"""WITH {FOLLOW_SQL}, g AS (SELECT *, duration_ms % 3 <> 0 AS good, duration_ms % 6 = 0 AS lost FROM f)
+SELECT count(*) AS total_calls, count(*) FILTER (good) AS ok, count(*) FILTER (NOT good) AS fail, min_by(at_unix, n) AS first_at_unix, max_by(at_unix, n) AS last_at_unix,
+count(*) FILTER (cur) AS pages_requested, count(*) FILTER (has_more) AS truncated_responses, count(*) FILTER (has_more AND followed) AS paged_followthrough,
+count(*) FILTER (tool IN ('click', 'purchase')) AS graph_calls, count(*) FILTER (tool = 'signup') AS text_search_calls, count(*) FILTER (tool IN ('click', 'purchase')) AS walk_calls,
+count(*) FILTER (tool IN ('click', 'purchase') AND NOT good) AS walk_failures, count(*) FILTER (tool = 'error') AS detect_changes, count(*) FILTER (tool = 'view') AS check_index_coverage, count(*) FILTER (lost) AS project_not_found FROM g""")
 def journal_totals(spark, d):
-    return journal.totals(views.journal(spark, d)).select("total_calls", "ok", "fail", "first_at_unix", "last_at_unix", "pages_requested", "truncated_responses", "paged_followthrough")
+    """All totals; the events are given the names of calls."""
+    named = {"click": "query_graph", "purchase": "trace_path", "view": "check_index_coverage", "signup": "search_code", "error": "detect_changes"}
+    tool = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])[F.col("tool")]
+    bad = F.col("duration_ms") % 3 == 0
+    code = F.when(bad, F.when(F.col("duration_ms") % 2 == 0, "project_not_found").otherwise("other"))
+    return journal.totals(views.journal(spark, d).withColumns({"tool": tool, "ok": ~bad, "error_code": code}))
 
 
 @query(f"WITH {JOURNAL_SQL} SELECT 'tool' AS kind, tool AS key, count(*) AS n FROM jj GROUP BY 2 UNION ALL SELECT 'error', error_code, count(*) FROM jj WHERE error_code IS NOT NULL GROUP BY 2")
@@ -447,20 +453,27 @@ def day_window(spark, d):
     return journal.window(j, "day", now).agg(F.count("*").alias("calls"), F.min("at_unix").alias("first_at_unix"))
 
 
-@query(f"""WITH {NODES_SQL}, o AS (SELECT 'order_' || l_orderkey AS caller, p_brand || '.' || p_type || '.' || p_name AS callee, count(*) AS c FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 20 = 1 GROUP BY 1, 2)
+@query(f"""WITH {NODES_SQL}, o AS (SELECT 'order_' || l_orderkey AS caller, p_brand || '.' || p_type || '.' || p_name AS callee, count(*) AS c FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
 SELECT caller, callee, a.id AS src, CASE WHEN b.n = 1 THEN b.id END AS dst, 'observed ' || c || ' time(s)' AS detail FROM o LEFT JOIN (SELECT name, min(id) AS id FROM g_nodes GROUP BY name HAVING count(*) = 1) a ON a.name = o.caller
 LEFT JOIN (SELECT qualified_name, min(id) AS id, count(*) AS n FROM g_nodes GROUP BY 1) b ON b.qualified_name = o.callee""")
-def trace_links(spark, d, only="l_orderkey % 20 = 1"):
-    line, part = views.load(spark, d, "lineitem").where(only), views.load(spark, d, "part")
+def trace_links(spark, d):
+    line, part = views.load(spark, d, "lineitem"), views.load(spark, d, "part")
     seen = line.join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("caller"), F.concat_ws(".", "p_brand", "p_type", "p_name").alias("callee"))
     seen = seen.groupBy("caller", "callee").agg(F.count("*").alias("count"))
     return resolve.link_traces(seen, views.g_nodes(spark, d)).select("caller", "callee", "src", "dst", "detail")
 
 
-@query("""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:script|img|link|iframe|source|embed)\\b[^>]*?\\b(?:src|href)="([^"]*)"', 1)) AS t FROM pages) SELECT page_id, t AS target FROM s WHERE NOT contains(t, '://')""")
+@query("""WITH l AS (SELECT page_id, u.i, 'p' || page_id AS n FROM pages, unnest(range(0, 8)) AS u(i))
+SELECT page_id, CASE i WHEN 0 THEN 'js/' || n || '.js' WHEN 1 THEN './img/' || n || '.png' WHEN 2 THEN '../css/' || n || '.css' END AS target FROM l WHERE i < 3""")
 def page_assets(spark, d):
-    """Local files that pages pull in; plain links are none."""
-    p = views.load(spark, d, "pages")
+    """Local files that pages pull in, by tag; links, other hosts and data are none."""
+    n = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    html = [
+        F.concat(F.lit('<p><script async src="js/'), n, F.lit('.js"></script>')), F.concat(F.lit('<IMG alt="" SRC = "./img/'), n, F.lit('.png">')),
+        F.concat(F.lit('<link rel="stylesheet" href="../css/'), n, F.lit('.css">')), F.lit('<a href="next.html">n</a>'), F.lit('<script src="https://cdn.example/x.js"></script>'),
+        F.lit('<img src="//cdn.example/y.png">'), F.lit('<img src="data:image/png;base64,AA">'), F.lit('<iframe src="#top"></iframe>'),
+    ]
+    p = views.load(spark, d, "pages").select("page_id", F.concat(*html).alias("html"))
     tags = F.expr(r"""regexp_extract_all(html, '(?i)<(?:script|img|link|iframe|source|embed)\\b[^>]*?\\b(?:src|href)\\s*=\\s*"([^"]*)"', 1)""")
     return p.select("page_id", F.explode(tags).alias("t")).select("page_id", paths.shipped_asset(F.col("t")).alias("target")).where("target is not null")
 
@@ -520,32 +533,11 @@ def stream_tool_rates(spark, d):
     stream = spark.readStream.schema(plain.schema).parquet(f"{d}/events.parque[t]")
     at = F.timestamp_seconds(views.epoch(stream, "ts"))
     stream = stream.select(at.alias("at"), F.col("event_type").alias("tool"), (F.col("event_type") != "error").alias("ok"), F.col("value").cast("bigint").alias("duration_ms"))
-    name = f"rates_{uuid.uuid4().hex}"
+    base = f"{checkpoint_folder(spark)}/rates-{uuid.uuid4().hex}"
     rates = usage.tool_rates(stream, "1 hour").drop("to_unix")
-    base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    writer = rates.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    if base.isDefined():
-        writer = writer.option("checkpointLocation", f"{base.get()}/{name}")
-    writer.start().awaitTermination()
-    return spark.table(name)
-
-
-#: Queries whose SQL asks for a part of the starts or rows, and the part; each has
-#: a form ``<name>_all`` over all of them, with the SQL less the part.
-PARTS = {
-    "path_pattern": " AND a.name LIKE 'NATION_1%'",
-    "inbound_pattern": " AND a.id % 10 = 3",
-    "neighbours": " AND a.id % 7 = 0",
-    "unresolved_calls": " AND a.id % 5 = 0",
-    "walk_nodes": " AND id % 25 = 4",
-    "classify_paths": " WHERE doc_id % 3 = 0",
-    "snippets": " WHERE doc_id % 4 = 0",
-    "trace_links": " WHERE l_orderkey % 20 = 1",
-}
-for _name, _part in PARTS.items():
-    assert SQL[_name].count(_part) == 1, _name
-    QUERIES[f"{_name}_all"] = lambda spark, d, _part_query=QUERIES[_name]: _part_query(spark, d, "true")
-    SQL[f"{_name}_all"] = SQL[_name].replace(_part, "")
+    writer = rates.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
+    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
+    return spark.read.schema(rates.schema).parquet(f"{base}/out")
 
 
 def queries():

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.sources.times import epoch
+from strandgraph.storage import Store, Version, checkpoint_folder
 
 KINDS = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "orders": 6}
 SHIFT = 10**12
+_snapshots: dict[tuple[str, str], Version] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +24,29 @@ def node_id(kind: str, key) -> F.Column:
     return (F.lit(KINDS[kind]) * F.lit(SHIFT).cast("bigint") + F.col(key).cast("bigint") + 1) if isinstance(key, str) else F.lit(KINDS[kind]) * F.lit(SHIFT).cast("bigint") + key.cast("bigint") + 1
 
 
+def snapshot(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """``nodes`` or ``edges`` of the graph over the tables of ``d``, as an index
+    holds them: built once a session, kept in the shared folder, in the layout of a
+    project's snapshot."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _snapshots:
+        store = Store(spark, f"{checkpoint_folder(spark)}/views")
+        v = store.begin(f"g{zlib.crc32(d.encode()):08x}-{uuid.uuid4().hex[:8]}")
+        v.put("nodes", _nodes(spark, d))
+        v.put("edges", _edges(spark, d))
+        _snapshots[key] = v.commit()
+    return _snapshots[key].get(table)
+
+
 def g_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot(spark, d, "nodes")
+
+
+def g_edges(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot(spark, d, "edges")
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
     region, nation, customer, supplier, part, orders = (load(spark, d, t) for t in KINDS)
     rn = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     cust = customer.join(rn, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -48,7 +75,7 @@ def g_nodes(spark: SparkSession, d: str) -> DataFrame:
     return result
 
 
-def g_edges(spark: SparkSession, d: str) -> DataFrame:
+def _edges(spark: SparkSession, d: str) -> DataFrame:
     region, nation, customer, supplier, part, orders = (load(spark, d, t) for t in KINDS)
     line = load(spark, d, "lineitem")
 
