@@ -6,6 +6,7 @@ nothing, never a guess."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from strandgraph.extract.facts import HTTP_VERBS, ROUTE_GROUPERS, Facts, column16, framework, join_route, joined, module_prefix, route_method, signature, unquote
@@ -63,18 +64,68 @@ class Token:
     line: int
 
 
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+#: Words after which a slash begins a regular expression.
+_BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do await yield instanceof".split())
+
+
+def template_end(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
+    """(end, expressions) of the template string that begins at ``at``."""
+    parts, k = [], at + 1
+    while k < len(text) and text[k] != "`":
+        if text[k] == "\\":
+            k += 2
+        elif text.startswith("${", k):
+            start, depth, k = k + 2, 1, k + 2
+            while k < len(text) and depth:
+                c = text[k]
+                if c == "`":
+                    k = template_end(text, k)[0]
+                    continue
+                if c in "\"'":
+                    m = re.compile(JS_STRINGS).match(text, k)
+                    k = m.end() if m else k + 1
+                    continue
+                depth += (c == "{") - (c == "}")
+                k += 1
+            parts.append((start, k - 1 if not depth else k))
+        else:
+            k += 1
+    return min(k + 1, len(text)), parts
+
+
 def tokenize(text: str, s: Syntax) -> tuple[list[Token], bool]:
-    """Tokens without comments; whether strings and comments all end."""
+    """Tokens without comments; whether strings and comments all end. In scripts a
+    regular expression is one token, and expressions in templates are tokens."""
     comment = r"#[^\n]*" if s.hash_comments else r"//[^\n]*|/\*(?:.|\n)*?(?:\*/|\Z)"
-    pattern = re.compile(rf"(?P<space>\s+)|(?P<comment>{comment})|(?P<str>{s.strings})|(?P<id>{_ID})|(?P<num>\d[\w.]*)|(?P<op>=>|->|::|\?\.|:=|[^\s\w])")
-    out, line, whole = [], 1, True
-    for m in pattern.finditer(text):
-        kind, t = m.lastgroup, m[0]
-        if kind == "comment" and t.startswith("/*") and not t.endswith("*/"):
-            whole = False
-        if kind not in ("space", "comment"):
-            out.append(Token(kind, t, m.start(), line))
-        line += t.count("\n")
+    pattern = re.compile(rf"(?P<space>\s+)|(?P<comment>{comment})|(?P<str>{s.strings})|(?P<id>{_ID})|(?P<num>\d[\w.]*)|(?P<op>=>|->|::|\?\.|:=|[^\s\w])|(?P<other>.)", re.S)
+    script = s.strings == JS_STRINGS
+    out, whole, lines = [], True, [m.end() for m in re.finditer("\n", text)]
+
+    def read(at: int, stop: int):
+        nonlocal whole
+        while at < stop:
+            if script and text[at] == "`":
+                end, parts = template_end(text, at)
+                out.append(Token("str", text[at : parts[0][0] if parts else end], at, bisect_right(lines, at) + 1))
+                for lo, hi in parts:
+                    read(lo, min(hi, stop))
+                at = end
+                continue
+            if script and text[at] == "/" and (not out or out[-1].kind == "op" and out[-1].text not in (")", "]", "}") or out[-1].text in _BEFORE_REGEX):
+                if m := _REGEX.match(text, at):
+                    out.append(Token("str", m[0], at, bisect_right(lines, at) + 1))
+                    at = m.end()
+                    continue
+            m = pattern.match(text, at)
+            kind, t = m.lastgroup, m[0]
+            if kind == "comment" and t.startswith("/*") and not t.endswith("*/"):
+                whole = False
+            if kind not in ("space", "comment", "other"):
+                out.append(Token(kind, t, at, bisect_right(lines, at) + 1))
+            at = m.end()
+
+    read(0, len(text))
     return out, whole
 
 
@@ -184,8 +235,48 @@ class Reader:
         if self.family == "csharp" and self.inside() == "type" and self.tok(i + 1) == "{" and re.fullmatch("get|set|init", self.tok(i + 2)) and before not in ("class", "namespace"):
             self.out.definitions.append(("Field", x, joined(self.here(), x), self.t[i].line, self.t[self.match.get(i + 1, i + 1)].line, signature(self.lines[self.t[i].line - 1]), None))
             return self.match.get(i + 1, i + 1) + 1
+        if self.family == "csharp" and self.inside() == "type" and self.tok(i + 1) == "=>" and (self.kind(i - 1) == "id" or before in (">", "]", "?")):
+            end = next((k for k in range(i, len(self.t)) if self.tok(k) == ";"), i)
+            self.field(i, end)
+            return i + 2
+        if self.family == "dart" and (n := self.dart(i, x)) is not None:
+            return n
         return i + 1
 
+    def field(self, i: int, end: int):
+        self.out.definitions.append(("Field", self.tok(i), joined(self.here(), self.tok(i)), self.t[i].line, self.t[end].line, signature(self.lines[self.t[i].line - 1]), None))
+
+    def dart(self, i: int, x: str) -> int | None:
+        """Getters, type aliases, enum constants and fields."""
+        after, inside = self.tok(i + 1), self.inside()
+        if x == "typedef":
+            end = next((k for k in range(i, len(self.t)) if self.tok(k) == ";"), len(self.t) - 1)
+            equals = next((k for k in range(i, end) if self.tok(k) == "="), None)
+            head = range(i + 1, end) if equals is None else range(i + 1, equals)
+            name = next((k for k in head if self.kind(k) == "id" and self.tok(k + 1) in ("(", "<", "=") and (equals is not None or self.tok(k + 1) == "(")), None)
+            if name is not None:
+                self.define("Type", self.tok(name), name, end)
+                self.scopes.pop()
+            return end + 1
+        if x == "get" and self.kind(i + 1) == "id" and self.tok(i + 2) in ("=>", "{", "async", ";") and inside != "function":
+            k = i + 2 + (self.tok(i + 2) == "async")
+            end = self.match.get(k, k) if self.tok(k) == "{" else next((m for m in range(k, len(self.t)) if self.tok(m) == ";"), len(self.t) - 1)
+            self.define("Method" if inside == "type" else "Function", self.tok(i + 1), i + 1, end, "", True)
+            return k + 1
+        if inside != "type" or i in self.defined:
+            return None
+        before = self.tok(i - 1)
+        if self.scopes[-1][1] == "Enum" and (before == "{" or before == ",") and after in (",", "}", ";", "("):
+            end = self.match.get(i + 1, i + 1) if after == "(" else i
+            self.field(i, end)
+            return end + 1
+        typed = self.kind(i - 1) == "id" and before not in ("class", "extends", "with", "on", "implements", "return", "new") or before in (">", "?")
+        if typed and after in (";", "="):
+            end = next((m for m in range(i, len(self.t)) if self.tok(m) == ";"), i)
+            self.field(i, end)
+            return i + 2
+        return None
+
     def generic_call(self, i: int) -> bool:
         if self.family not in ("typescript", "java", "csharp", "kotlin", "dart", "rust", "cpp"):
             return False
@@ -221,10 +312,10 @@ class Reader:
                 self.out.imports.append((path, line))
             return end + 1
         elif f in ("java", "kotlin", "csharp", "perl") and x == {"csharp": "using", "perl": "use"}.get(f, "import"):
-            if m := re.match(r"\s*(?:import|using|use)\s+(?:static\s+|global::)?([A-Za-z_][\w.:]*)\s*(?:;|$|\s+as\b|qw|\(|\.\*)", self.lines[line - 1]):
+            if m := re.match(r"\s*(?:import|using|use)\s+(?:static\s+|global::)?([A-Za-z_][\w.:]*)\s*(?:;|$|\s+as\b|qw|\(|\.\*)", self.text[self.t[i].at :].split("\n", 1)[0]):
                 if f != "perl" or m[1][0].isupper():
                     self.out.imports.append((m[1].rstrip("."), line))
-                return next((k for k in range(i, len(self.t)) if self.t[k].line > line), len(self.t))
+                return next((k for k in range(i, len(self.t)) if self.t[k].line > line or self.tok(k - 1) == ";" and k > i), len(self.t))
         elif f == "dart" and x in ("import", "export", "part") and self.kind(i + 1) == "str":
             self.out.imports.append((unquote(self.tok(i + 1)), line))
             return to_end() + 1
@@ -462,7 +553,7 @@ class Reader:
                 if made is not None:
                     return made
             if before not in ("new",) and x not in ("constructor",) and not (self.family == "rust" and before in ("struct",)):
-                if not (self.family in ("c", "cpp", "java", "csharp", "dart") and inside == "type" and self.scopes and not self.scopes[-1][3] and before not in ("=", "(", ",", ".", "{")):
+                if not (self.family in ("c", "cpp", "java", "csharp", "dart") and inside == "type" and self.scopes and not self.scopes[-1][3] and before not in ("=", "=>", "(", ",", ".", "{")):
                     receiver = self.receiver(i)
                     self.out.calls.append((self.here(), x, receiver, self.t[i].line, self.column(i)))
                     self.route(i, x, n, close)
@@ -556,5 +647,35 @@ class Reader:
         return close + 1 if close > i and self.inside() != "function" else i + 1
 
 
+def one_branch(text: str) -> str:
+    """C text with one branch of each conditional; directives and the other
+    branches are blank, so lines and columns stay. The first branch counts, but
+    the next one where the condition is a plain 0."""
+    out, live, taken, going_on = [], [], [], False
+    for line in text.split("\n"):
+        m = re.match(r"\s*#\s*(if|ifdef|ifndef|elif|else|endif)\b\s*(.*?)\s*\\?\s*$", line)
+        word = m[1] if m and not going_on else ""
+        if word.startswith("if"):
+            live.append(m[2] != "0")
+            taken.append(live[-1])
+        elif word in ("elif", "else") and live:
+            live[-1] = not taken[-1] and m[2] != "0"
+            taken[-1] = taken[-1] or live[-1]
+        elif word == "endif" and live:
+            live.pop()
+            taken.pop()
+        keep = not word and not going_on and all(live)
+        out.append(line if keep else " " * len(line))
+        going_on = (bool(word) or going_on) and line.rstrip("\r").endswith("\\")
+    return "\n".join(out)
+
+
 def extract(language: str, path: str, text: str) -> Facts:
-    return Reader(language, path, text).run()
+    """The facts of one text. Where conditionals leave braces of C unbalanced, or
+    branches hold several heads of one body, one branch of each is read."""
+    out = Reader(language, path, text).run()
+    if language in ("c", "cpp") and out.errors and re.search(r"(?m)^\s*#\s*if", text):
+        flat = Reader(language, path, one_branch(text)).run()
+        if len(flat.errors) < len(out.errors):
+            return flat
+    return out
