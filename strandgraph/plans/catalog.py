@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions import paths
 from strandgraph.operators import coverage, graph, journal, mutate, paging, resolve, search
+from strandgraph.plans import engine, extraction, operators
 from strandgraph.sources import views
 from strandgraph.storage import checkpoint_folder
 
@@ -540,12 +541,15 @@ def stream_tool_rates(spark, d):
     return spark.read.schema(rates.schema).parquet(f"{base}/out")
 
 
+operators._add_fingerprint()
+
+
 def queries():
-    return dict(QUERIES)
+    return {**QUERIES, **operators.QUERIES, **extraction.QUERIES, **engine.QUERIES}
 
 
 def oracle_sql():
-    return dict(SQL)
+    return {**SQL, **operators.SQL, **extraction.SQL, **engine.SQL}
 
 
 def entry(spark: SparkSession) -> DataFrame:
