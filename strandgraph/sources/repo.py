@@ -46,27 +46,74 @@ def language_of(path: Column, head: Column | None = None) -> Column:
     return F.coalesce(known, F.when(~name.contains(".") & interpreter.isin(*SHELLS), "bash"))
 
 
+LISTED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("uri", pa.string())])
+#: Folders that the driver looks into, at most, before executors take the rest.
+FOLDERS_FIRST = 64
+
+
+def entries(top: str, folder: str) -> tuple[list[str], list[tuple]]:
+    """(folders to follow, files) of one folder of the tree at ``top``. Links and
+    hidden folders but the tracked ones are left out; what cannot be read is empty."""
+    folders, files = [], []
+    join = lambda name: f"{folder}/{name}" if folder else name
+    follow = lambda name: not name.startswith(".") or name in TRACKED_DOT_DIRECTORIES
+    if top.startswith("file:"):
+        local = re.sub("^file:/+", "/", top)
+        try:
+            with os.scandir(f"{local}/{folder}") as found:
+                for e in found:
+                    if e.is_symlink():
+                        continue
+                    if e.is_dir():
+                        folders += [join(e.name)] if follow(e.name) else []
+                    elif e.is_file():
+                        st = e.stat()
+                        files.append((join(e.name), st.st_size, st.st_mtime_ns, f"{top}/{join(e.name)}"))
+        except OSError:
+            pass
+        return folders, files
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(f"{top}/{folder}" if folder else top)
+    for e in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if e.type == fs.FileType.Directory:
+            folders += [join(e.base_name)] if follow(e.base_name) else []
+        elif e.type == fs.FileType.File:
+            files.append((join(e.base_name), e.size, e.mtime_ns or 0, f"{top}/{join(e.base_name)}"))
+    return folders, files
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime_ns, uri) of all files below ``root``, links not
-    followed. Spark's own readers leave out names that begin with "_" or ".",
-    so the file system is asked; only names and sizes pass the driver."""
+    """(path, size, mtime_ns, uri) of all files below ``root``. The driver looks
+    into the first folders only; executors list what is below the others, so the
+    names of a large tree do not pass the driver."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     top = fs.makeQualified(base).toString().rstrip("/")
-    rows, todo = [], [base]
-    while todo:
-        for st in fs.listStatus(todo.pop()):
-            uri = st.getPath().toString()
-            path = uri[len(top) + 1 :]
-            name = path.rpartition("/")[2]
-            if st.isSymlink() or top.startswith("file:") and os.path.islink(re.sub("^file:/+", "/", uri)):
-                continue
-            if st.isDirectory():
-                if not name.startswith(".") or name in TRACKED_DOT_DIRECTORIES:
-                    todo.append(st.getPath())
-            elif st.isFile():
-                rows.append((path, st.getLen(), st.getModificationTime() * 1_000_000, uri))
-    return spark.createDataFrame(sorted(rows), "path string, size long, mtime_ns long, uri string")
+    if not fs.exists(base):
+        raise s.GraphError("path_not_found", f"no folder '{root}'")
+    rows, todo, seen = [], [""], 0
+    while todo and seen < FOLDERS_FIRST and len(todo) < FOLDERS_FIRST:
+        folders, files = entries(top, todo.pop(0))
+        todo += folders
+        rows += files
+        seen += 1
+    ddl = "path string, size long, mtime_ns long, uri string"
+    out = spark.createDataFrame(rows, ddl)
+
+    def run(batches):
+        for b in batches:
+            stack = b.column("folder").to_pylist()
+            while stack:
+                folders, files = entries(top, stack.pop())
+                stack += folders
+                if files:
+                    yield pa.RecordBatch.from_pylist([dict(zip(LISTED.names, f)) for f in files], LISTED)
+
+    if todo:
+        below = spark.createDataFrame([(x,) for x in todo], "folder string").repartition(len(todo)).mapInArrow(run, ddl)
+        out = out.unionByName(below)
+    return out.checkpoint()
 
 
 def with_content(tree: DataFrame) -> DataFrame:
