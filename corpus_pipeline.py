@@ -1,17 +1,23 @@
 """Corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before it kept. The first four return the columns of ``documents``."""
+before it kept. The first four return the columns of ``documents``; other columns
+are dropped, and clashing names of theirs do no harm.
 
-from __future__ import annotations
+A null text counts as an empty one: it is scored, has no near duplicates, leaks
+and secrets, stays null and is packed as one token. Rows with a null doc_id are
+kept like others. Rows that share a doc_id are told apart by their texts; repeated
+rows stay until the near-duplicate stage keeps one of them, by least doc_id, then
+by least hash of text. Very long texts are handled whole. Empty tables give empty
+results; without labels every row scores 0.5 and is kept."""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from strandgraph.llm import decontaminate as tiles
 from strandgraph.llm import near_dedup, packing, quality, secret_scan
-from strandgraph.llm.common import prepare, table
+from strandgraph.llm.common import Scratch, prepare, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,12 +63,13 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """Applies the stages to ``documents``; each result is written to the shared
-    checkpoint folder and read again."""
+    checkpoint folder, read again, and deleted once the next one is written."""
     prepare(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{base}/{i}-{name}")
-        docs = spark.read.parquet(f"{base}/{i}-{name}")
+    before = []
+    for name, stage in STAGES:
+        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)  # what follows from it is written
+        before = [name]
     return docs

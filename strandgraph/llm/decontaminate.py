@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import U, as_table, shingle_hashes, word_hashes
+from strandgraph.llm.common import Scratch, U, as_table, shingle_hashes, word_hashes
 
 SEED = 5
 COVER = 0.6
@@ -187,26 +187,31 @@ def tile(text: list[np.ndarray], item: np.ndarray, size: int) -> tuple[int, int]
     return covered, tiles
 
 
+def block_count(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    total = benchmark.where("text is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return -(-total // block_bytes)
+
+
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     """Yields the items in blocks whose texts have about ``block_bytes`` at most."""
     items = benchmark.select("item_id", "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
+    n = block_count(items, block_bytes)
     for i in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
-        yield Items(sorted((r["item_id"], r["text"]) for r in part.collect()))
+        yield Items(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
 LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32())])
 LEAKS_DDL = "doc_id bigint, item_id bigint, coverage double, n_tiles int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """One row per text and item that leaks into it."""
+def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per text and item that leaks into it. Of several blocks one at a time
+    is with the executors: a block's rows are written before the next one is sent."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    out = None
-    for block in blocks(benchmark):
+    n, scratch, out = block_count(benchmark, block_bytes), Scratch(spark, "leaks"), None
+    for i, block in enumerate(blocks(benchmark, block_bytes)):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -215,13 +220,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
                 yield from as_table(LEAKS, **{f.name: [r[i] for r in rows] for i, f in enumerate(LEAKS)}).to_batches()
 
         part = docs.mapInArrow(run, LEAKS_DDL)
+        if n > 1:
+            part = scratch.put(part, f"block{i}")
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], LEAKS_DDL) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """``docs`` without the rows that an item leaks into; one pass, no shuffle."""
-    for block in blocks(benchmark):
+def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that an item leaks into; no shuffle, one pass a
+    block. What a block has left is written before the next one is sent."""
+    n, scratch = block_count(benchmark, block_bytes), Scratch(docs.sparkSession, "clean")
+    for i, block in enumerate(blocks(benchmark, block_bytes)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -229,4 +239,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
                 yield b.filter(pa.array([not shared.value.leaks(t, cover) for t in b.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if i < n - 1:
+            docs = scratch.put(docs, f"block{i}")
+            scratch.drop(f"block{i - 1}")
+            shared.unpersist()
     return docs

@@ -27,8 +27,9 @@ one space, and character references are decoded once. Null and empty pages,
 and pages without text, give an empty text. Nodes are merged by counts that
 are pre-aggregated, so a host with a third of all pages is no hot group; the
 cut branches reach the pages by broadcast while their size is under
-``BROADCAST_BYTES``, by a salted join above it. Repeated rows give equal rows;
-other columns are passed on.
+``BROADCAST_BYTES``, by a salted join above it. Repeated rows give equal rows, and very
+long pages are parsed whole. Empty tables give empty results; other columns are
+passed on.
 """
 
 from __future__ import annotations

@@ -9,14 +9,16 @@ dual coordinate descent. A logistic curve, fitted on rows that the model has
 not seen, turns margins into scores.
 
 The fit uses a bounded sample: at most ``MAX_ROWS`` labelled rows, the first
-by a hash of their id. The model is one array of fixed size. Scoring covers
+by a hash of their id, and of these the first whose features have at most
+``MAX_PLACES`` places together. The model is one array of fixed size. Scoring covers
 whole texts and every row, and reads nothing but the text.
 
 Null and empty texts have no features and get the model's score for none. Rows
 without a label, or with a null one, take no part in the fit; of several labels
-of one doc_id the least counts. If one class is missing, every score is the
-share of the other. Repeated rows score alike. Other columns are ignored or
-passed on.
+of one doc_id the least counts, of several texts too. If one class is missing, every score is the
+share of the other. Repeated rows and ties score alike, very
+long texts are read whole. Empty tables give empty results, or where nothing is
+labelled a score of 0.5. Other columns are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ TRIGRAMS = 1 << 17
 MARKS = 2 * 4 + 16 + 64 + 4
 SIZE = TRIGRAMS + MARKS
 MAX_ROWS = 8000
+MAX_PLACES = 1 << 26
 ACCEPT = 0.3
 FOLDS = 5
 _MUL = U(0x9E3779B97F4A7C15)
@@ -159,10 +162,28 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> Model:
     return Model(w * scale, b, curve)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fits ``labels(doc_id, quality)`` on at most ``max_rows`` of the rows."""
-    known = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+def sample_of(docs: DataFrame, labels: DataFrame, max_rows: int, max_places: int) -> DataFrame:
+    """(doc_id, text, quality): the bounded sample that a fit sees."""
+    known = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    chosen = known.select("*", F.xxhash64("doc_id").alias("nth")).orderBy("nth", "doc_id").limit(max_rows)
+    docs = docs.select("doc_id", "text")
+    # at most max_rows small rows: how many places the features of each may have
+    most = F.least(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(TRIGRAMS)) + MARKS
+    sizes = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "nth").agg(F.max(most).cast("bigint").alias("n")).collect()
+    total, kept = 0, []
+    for r in sorted(sizes, key=lambda r: (r["nth"], r["doc_id"])):
+        total += r["n"]
+        if total > max_places and kept:
+            break
+        kept.append((r["doc_id"],))
+    if len(kept) < len(sizes):
+        chosen = chosen.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long")), "doc_id", "left_semi")
+    return docs.join(F.broadcast(chosen.drop("nth")), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_places: int = MAX_PLACES) -> Model:
+    """Fits ``labels(doc_id, quality)`` on a bounded sample of the rows."""
+    sample = sample_of(docs, labels, max_rows, max_places)
     schema = pa.schema([("order", pa.int64()), ("quality", pa.int32()), ("at", pa.binary())])
 
     def run(batches):
@@ -170,8 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             at = [features(t).tobytes() for t in b.column("text").to_pylist()]
             yield from as_table(schema, order=b.column("doc_id").to_pylist(), quality=b.column("quality").to_pylist(), at=at).to_batches()
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = sample.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "order bigint, quality int, at binary").toArrow()
+    rows = sample.mapInArrow(run, "order bigint, quality int, at binary").toArrow()
     rows = rows.sort_by("order")
     order = np.random.default_rng(1).permutation(rows.num_rows)
     at = [np.frombuffer(x, np.int32) for x in rows.column("at").to_pylist()]

@@ -8,7 +8,8 @@ kept only if it is right.
 
 Spans are code points of the text, end exclusive, by start and then in the
 order of ``KINDS``. Null and empty texts have no spans. Repeated rows give equal
-rows, ties cannot occur within a kind. Other columns are ignored.
+rows, ties cannot occur within a kind. Very long texts are scanned whole. Empty
+tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -349,6 +349,22 @@ def test_quality(llm, docs, none):
     assert {r.score for r in q.scored(docs, flat).collect()} == {0.5}
 
 
+def test_the_sample_is_bounded(llm):
+    """In rows and in places; one text of a doc_id, the same each time."""
+    from strandgraph.llm import quality as q
+
+    rows = [(i, "ab cd " * 50) for i in range(40)] + [(3, "a"), (4, None)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    labels = llm.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0)], "doc_id long, quality int")
+    of = lambda *most: sorted((r.doc_id, r.text, r.quality) for r in q.sample_of(docs, labels, *most).collect())
+    whole = of(1000, 1 << 30)
+    assert [r[0] for r in whole] == list(range(40)) and whole[3][1] == "a" and whole[4][1] == "ab cd " * 50 and whole[1][2] == 0
+    assert len(of(7, 1 << 30)) <= 7 and set(of(7, 1 << 30)) <= set(whole)
+    few = of(1000, 10 * (300 + q.MARKS))
+    assert 9 <= len(few) <= 11 and set(few) <= set(whole) and few == of(1000, 10 * (300 + q.MARKS))
+    assert len(of(1000, 1)) == 1
+
+
 def test_dual_descent_is_optimal():
     """The duality gap of the fitted model is small."""
     from strandgraph.llm import quality as q
@@ -378,6 +394,10 @@ def test_decontamination(llm, docs, none):
     assert sorted(r.doc_id for r in d.clean(t, bench).collect()) == [2, 3, 4, 5]
     assert d.leaks(docs, bench.limit(0)).count() == 0 and d.leaks(none, bench).count() == 0 and d.clean(docs, bench.limit(0)).count() == len(TEXTS)
     assert len(list(d.blocks(bench, 100))) > 1
+    again = sorted((r.doc_id, r.item_id, round(r.coverage, 3), r.n_tiles) for r in d.leaks(t, bench, block_bytes=100).collect())
+    assert again == got and sorted(r.doc_id for r in d.clean(t, bench, block_bytes=100).collect()) == [2, 3, 4, 5]
+    nameless = llm.createDataFrame([(None, a), (3, b), (None, c)], "item_id long, text string")
+    assert {r.item_id for r in d.leaks(t, nameless).collect()} == {None, 3}
 
 
 def test_tiles_do_not_overlap():
@@ -423,6 +443,18 @@ def test_licenses(docs, none, llm):
     assert scan_licenses(none).count() == 0
 
 
+def test_licenses_in_very_long_lines(llm):
+    """A notice in a line of a megabyte is found, in bounded time; wording that is
+    added is listed."""
+    from strandgraph.llm.license_scan import scan_licenses
+
+    filler = prose(60_000, 77)
+    rows = [(1, filler + ". This work is licensed under CC BY 4.0. " + filler), (2, "license " * 50_000), (3, None), (4, "")]
+    began = time.perf_counter()
+    got = {(r.doc_id, r.license) for r in scan_licenses(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "CC-BY-4.0")} and time.perf_counter() - began < 60
+
+
 def test_license_notices_as_published(llm):
     """Numbered BSD clauses and LGPL notices, wrapped, in comments and in one line."""
     import textwrap

@@ -1,5 +1,9 @@
 """HTML extraction and chat formatting on small tables."""
 
+import collections
+import math
+import random
+
 import pytest
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p><p>x";</script></head>
@@ -34,6 +38,96 @@ def test_style_tree_cuts_templates_without_roles(llm):
     assert out[3] == "Story 3 of 21\nMore 3" and out[99] == "Our site\nStory 1 of 2\nMore 1\nImprint"
 
 
+def brute_force_tree(rows):
+    """Importance by counting, page by page, and what each page then keeps."""
+    from strandgraph.llm import html_extract as h
+
+    seen = collections.defaultdict(dict)
+    for _, url, html in rows:
+        for path, page, content, shape in h.style_rows(html):
+            at = seen[h.host(url), path]
+            at[page] = min(at.get(page, (content, shape)), (content, shape))
+
+    def entropy(values):
+        m, n = len(values), collections.Counter(values)
+        return 1.0 if m < 2 else -sum(k / m * math.log(k / m, m) for k in n.values())
+
+    tree = {k: (len(v), h.GAMMA * entropy([c for c, _ in v.values()]) + (1 - h.GAMMA) * entropy([s for _, s in v.values()])) for k, v in seen.items()}
+    ruled = collections.defaultdict(set)
+    for (host, path), (m, i) in tree.items():
+        low = (h.PRIOR + m * i) / (h.PRIOR + m) < h.LOW if path[0] == "+" else m * i / (h.PRIOR + m) >= h.LOW if path[0] == "-" else i < h.LOW and m >= h.MIN_PAGES
+        if low:
+            ruled[host].add(path)
+    return tree, {k: h.text_of(html, frozenset(ruled[h.host(url)])) for k, url, html in rows}
+
+
+def test_style_tree_against_brute_force(llm):
+    """Random pages of a few hosts, with copies, templates, articles and without."""
+    from strandgraph.llm.html_extract import extract, style_tree
+
+    r = random.Random(8)
+    rows = []
+    for k in range(160):
+        host = r.choice("pqrs")
+        some = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+        box = [f'<div class="top">Site {host}</div>', f'<div class="m"><p>{some(30)}</p><p>{some(12)}</p></div>', f'<div class="n">{r.choice(["one", "two"])}</div>', f"<ul><li>{some(2)}<li>tip</ul>"]
+        inner = "".join(x for x in box if r.random() < 0.9)
+        rows.append((k, f"http://{host}.example/{k}", f"<html><body>{inner if host in 'pq' else '<article>' + inner + '</article>' + box[2]}<div>Imprint</div></body></html>"))
+        if r.random() < 0.2:
+            rows.append((1000 + k, rows[-1][1], rows[-1][2]))
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string")
+    tree, texts = brute_force_tree(rows)
+    got = {(x.host, x.path): (x.n_pages, x.importance) for x in style_tree(pages).collect()}
+    assert got.keys() == tree.keys() and all(got[k][0] == m and abs(got[k][1] - i) < 1e-9 for k, (m, i) in tree.items())
+    assert {x.page_id: x.text for x in extract(pages).collect()} == texts
+    from strandgraph.llm.html_extract import text_of
+
+    assert sum(texts[k] != text_of(html, frozenset()) for k, _, html in rows) > len(rows) / 2  # the tree decides
+
+
+def test_well_formed_pages_against_a_parser():
+    """Without roles, text is what the standard parser reads, by block."""
+    from html.parser import HTMLParser
+
+    from strandgraph.llm.html_extract import text_of
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out = [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.out[-1] += " "
+            elif tag not in ("b", "i", "a", "span"):
+                self.out.append("")
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a", "span"):
+                self.out.append("")
+
+        def handle_data(self, data):
+            self.out[-1] += data
+
+    r = random.Random(9)
+
+    def inline(depth=0):
+        words = " ".join(r.choice(["one", "x &amp; y", "&lt;b&gt;", "caf&eacute;", "n&#233;", "a\n  b", "&nbsp;"]) for _ in range(r.randint(1, 4)))
+        return words if depth > 2 or r.random() < 0.5 else f"{words}<{(t := r.choice(['b', 'i', 'a', 'span']))} title='q > \"x\"'>{inline(depth + 1)}</{t}>{r.choice(['', '<br>', ' z'])}"
+
+    def block(depth=0):
+        if depth > 3 or r.random() < 0.4:
+            return f"<p>{inline()}</p>"
+        t = r.choice(["div", "section", "blockquote", "ul"])
+        return f"<{t}>" + "".join(f"<li>{inline()}</li>" if t == "ul" else block(depth + 1) for _ in range(r.randint(1, 3))) + f"</{t}>"
+
+    for _ in range(200):
+        html = f"<html><body>{''.join(block() for _ in range(3))}</body></html>"
+        p = Plain()
+        p.feed(html)
+        assert text_of(html, frozenset()) == "\n".join(x for x in (" ".join(o.split()) for o in p.out) if x)
+
+
 def test_salted_join_gives_the_same(llm, monkeypatch):
     from strandgraph.llm import html_extract as h
 

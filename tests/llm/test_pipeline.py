@@ -53,3 +53,27 @@ def test_null_and_shared_ids_lose_no_text(llm, tmp_path):
     out = near_duplicates(docs).collect()
     assert len(out) == len(rows) and all(x.kept is not None for x in out)
     assert sorted(str(x.component_id) for x in out) == sorted(["1"] * 4 + ["None"] * 5 + ["2"] * 2 + ["3"] * 2 + ["4"])
+
+
+def test_odd_tables(llm, tmp_path):
+    """Empty tables, null ids and texts, repeated rows, ties and extra columns."""
+    import corpus_pipeline as p
+
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, score double, own string, pid int, alone int, rep long"
+    for name, columns in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("documents", ddl)):
+        llm.createDataFrame([], columns).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert p.run(llm, f"{tmp_path}/none").count() == 0
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, long = prose(50), prose(30_000)
+    rows = [(1, a), (1, a), (2, a), (None, None), (None, a + " end"), (3, None), (3, ""), (4, long), (5, prose(40))]
+    rows = [(i, t, None, None, None, 0.5, "x", 7, 1, 2) for i, t in rows]
+    docs = llm.createDataFrame(rows, ddl)
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name in ("labels", "benchmark"):
+        llm.read.parquet(f"{tmp_path}/none/{name}.parquet").write.parquet(f"{tmp_path}/odd/{name}.parquet")
+    out = p.run(llm, f"{tmp_path}/odd")
+    got = [(x.doc_id, x.piece) for x in out.collect()]
+    assert {i for i, _ in got} == {None, 1, 3, 4, 5} and len([1 for i, _ in got if i == 3]) == 2 and len([1 for i, _ in got if i == 1]) == 1
+    assert out.where("doc_id = 4").agg(F.sum("length")).first()[0] > 30_000
+    assert sorted(p.run(llm, f"{tmp_path}/odd").drop("sequence_id", "offset").collect(), key=str) == sorted(out.drop("sequence_id", "offset").collect(), key=str)
