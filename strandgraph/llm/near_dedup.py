@@ -417,8 +417,10 @@ def step(n_groups: int):
         up = np.unique(now[now[:, 0] != now[:, 1], 1])
         out = messages(n_groups, HOOK, rest) + messages(n_groups, ASK, np.column_stack([up, np.full(len(up), pid)]))
         out += messages(n_groups, ANSWER, answer[moved], asked[moved, 1])
-        same = len(now) == len(before) and (now == before).all()
-        out.append((pid, PARENTS, now.tobytes(), len(rest) + (not same)))
+        # roots that are asked for the first time are no change
+        old = now[find(now[:, 0], before[:, 0])[0] | (now[:, 0] != now[:, 1])]
+        same = len(old) == len(before) and (old == before).all()
+        out.append((pid, PARENTS, now.tobytes(), len(rest) + int(moved.sum()) + (not same)))
         return as_table(STEP, **{f.name: [r[i] for r in out] for i, f in enumerate(STEP)})
 
     return run
@@ -428,14 +430,15 @@ def parents(edges: DataFrame, scratch: Scratch, name: str, n_groups: int) -> Dat
     """Packed (pid, kind, items) of (vertex, least vertex that it reaches), written as
     ``name``. Groups hold a parent for each vertex, never a greater one. Each step
     hooks parents that a vertex has besides its least one to that one, and puts the
-    parent's parent in a parent's place; it ends when two steps change nothing."""
-    n = partitions(edges.sparkSession)
+    parent's parent in a parent's place. It ends with a step in which no parent
+    changes and every parent, asked the step before, answers that it is a root."""
+    n = max(1, partitions(edges.sparkSession) // 4)  # a vertex is some bytes only
     state = edges.select("a", "b").where("a <> b").mapInArrow(hooks(n_groups), STEP_DDL)
-    quiet = i = 0
-    while quiet < 2:
+    i, changed = 0, True
+    while changed:
         state = scratch.put(state.repartition(n, "pid").groupBy("pid").applyInArrow(step(n_groups), STEP_DDL), f"{name}{i}")
         scratch.drop(f"{name}{i - 1}")
-        quiet = 0 if state.agg(F.sum("changed")).first()[0] else quiet + 1
+        changed = state.agg(F.sum("changed")).first()[0] or 0
         i += 1
     return state.where(F.col("kind") == PARENTS).select("pid", "kind", "items")
 
@@ -619,12 +622,11 @@ def further_links(scratch: Scratch, met: DataFrame, sets: DataFrame, known: Data
     state = state.select("pid", "kind", "items").repartition(n, "pid")
     mixed = some.cogroup(state.groupBy("pid")).applyInArrow(say_roots(buckets), SAID_DDL).groupBy("bucket").applyInArrow(meeting(3, _mixed), SAID_DDL)
     told = state.unionByName(mixed.select("pid", F.lit(9).alias("kind"), "items").repartition(n, "pid"))
-    opened = scratch.put(some.cogroup(told.groupBy("pid")).applyInArrow(open_, OPEN_DDL), "open")
+    opened = some.cogroup(told.groupBy("pid")).applyInArrow(open_, OPEN_DDL)
 
     full = sets.select("pid", "rep", "items").join(opened.hint("shuffle_hash"), "rep").repartition(n, "pid").groupBy("pid")
     common = full.applyInArrow(say_items(buckets), SAID_DDL).groupBy("bucket").applyInArrow(_common, SAID_DDL)
     left = scratch.put(full.cogroup(common.repartition(n, "pid").groupBy("pid")).applyInArrow(alike(buckets), ALIKE_DDL), "alike")
-    scratch.drop("open")
 
     # the pivot is compared with all; what is left of a bucket matters while it
     # holds two components
@@ -681,8 +683,6 @@ def classes(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "own")).alias("first")
     one = info.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"), first)
     reps = scratch.put(one, "reps")
-    rows = scratch.put(info.drop("bands", "row"), "rows")
-    scratch.drop("info")
 
     groups, buckets = number_of_groups(spark, reps.count()), max(1, n // 2)
     each = reps.select(group_of(groups).alias("pid"), "rep", "n", "bands", "first.doc_id", "first.own").repartition(n, "pid").groupBy("pid")
@@ -706,11 +706,9 @@ def classes(docs: DataFrame) -> DataFrame:
         roots = roots.join(joined, "root", "left").select("v", F.coalesce("top", "root").alias("root")).unionByName(joined.select(F.col("root").alias("v"), F.col("top").alias("root")))
         roots = roots.distinct()
     named = reps.select("digest", "rep", "first").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("digest", "first", F.coalesce("root", "rep").alias("root"))
-    named = scratch.put(named, "named")
+    # written, so the join with it can split the rows of a large component
     least = scratch.put(named.groupBy("root").agg(F.min("first").alias("named")), "least")
-    scratch.drop("reps", "tree*", "joined*", "found")
-    named = scratch.put(named.select("digest", "root").join(least, "root").select("digest", "named"), "names")
-    scratch.drop("named", "least")
-    out = rows.join(named, "digest", "left")
+    named = named.select("digest", "root").join(least, "root").select("digest", "named")
+    out = info.select("doc_id", "own", "n_shingles", "digest").join(named, "digest", "left")
     kept = F.col("digest").isNull() | (F.col("doc_id").eqNullSafe(F.col("named.doc_id")) & (F.col("own") == F.col("named.own")))
     return out.select("doc_id", "own", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("named.doc_id")).alias("component_id"), kept.alias("kept"))

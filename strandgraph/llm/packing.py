@@ -37,7 +37,7 @@ LENGTH = 2048
 SEQUENCES = 500
 END = 0
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 800_000
+WORDS_KEPT = 500_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
