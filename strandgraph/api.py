@@ -308,7 +308,7 @@ class Engine:
         if paths:
             tree = repo.listing(self.spark, root)
             rules, there = repo.ignore_rules(tree, root), {r["path"] for r in tree.where(F.col("path").isin(*paths)).select("path").collect()}
-            asked = self.spark.createDataFrame([(repo.safe_relative(p), rules.excluded(p), p in there) for p in paths], "path string, excluded boolean, present boolean")
+            asked = self.spark.createDataFrame([(repo.safe_relative(p, root), rules.excluded(p), p in there) for p in paths], "path string, excluded boolean, present boolean")
             out["paths"] = _rows(coverage.classify_paths(asked, g.files).orderBy("path"))
         more, total = False, 0
         for scope in scopes or ([] if paths else ["."]):

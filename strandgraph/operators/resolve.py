@@ -119,7 +119,8 @@ def import_candidates(imports: DataFrame, aliases: DataFrame | None = None, dart
     """(import columns, ord, candidate): repository paths that an import may
     mean, best first. ``aliases(dir, prefix, suffix, wildcard, alias_target, alias_ord)``,
     ``dart(name, lib_dir)`` and ``go(path, dir)`` come from manifests; they are
-    joined by prefix keys that are exploded from the imports, not compared."""
+    joined by prefix keys that are exploded from the imports, not compared.
+    Manifests have passed the driver, so their folders are few."""
     base = imports.columns
     target, folder = F.col("target"), paths.parent_dir(F.col("from_file"))
     relative = target.startswith("./") | target.startswith("../")
@@ -133,8 +134,11 @@ def import_candidates(imports: DataFrame, aliases: DataFrame | None = None, dart
     if aliases is not None:
         steps = F.split(folder, "/")
         above = F.when(folder == "", F.array(F.lit(""))).otherwise(F.concat(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")), F.array(F.lit(""))))
-        cut = F.transform(F.sequence(F.lit(0), F.length("target")), lambda i: F.col("target").substr(F.lit(1), i))
-        keyed = rest.withColumn("dir", F.explode(above)).withColumn("prefix", F.explode(cut)).join(aliases, ["dir", "prefix"])
+        # only folders and prefix lengths that some manifest has are tried; both are few
+        most = aliases.agg(F.collect_set("dir").alias("dirs"), F.collect_set(F.length("prefix")).alias("sizes"))
+        cut = F.transform(F.filter("sizes", lambda n: n <= F.length("target")), lambda n: F.col("target").substr(F.lit(1), n))
+        near = rest.crossJoin(F.broadcast(most)).withColumn("dir", F.explode(F.array_intersect(above, "dirs"))).withColumn("prefix", F.explode(cut))
+        keyed = near.drop("dirs", "sizes").join(aliases, ["dir", "prefix"])
         middle = F.col("target").substr(F.length("prefix") + 1, F.length("target") - F.length("prefix") - F.length("suffix"))
         fits = F.when(F.col("wildcard"), F.expr("endswith(substring(target, length(prefix) + 1), suffix)") & ((middle != "") | (F.col("suffix") == ""))).otherwise(F.col("prefix") == F.col("target"))
         at = F.instr("alias_target", "*")

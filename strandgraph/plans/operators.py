@@ -308,6 +308,34 @@ def distinct_facts(spark, d):
     return facts(extracted(files), "imports").select(F.regexp_replace("file_path", r"\.java$", "").alias("file_path"), F.replace("target", F.lit("_"), F.lit(" ")).alias("name"))
 
 
+@query("""SELECT doc_id, 'a b/' || lang || '%' AS q, '' AS flag, 'x' || doc_id AS last FROM documents""")
+def query_strings(spark, d):
+    """Percent-decoded arguments of query strings."""
+    from strandgraph.functions.strings import query_arguments
+
+    k = F.col("doc_id")
+    text = _text("q=a+b%2F", F.col("lang"), "%&flag&n=1&last=no&&last=x", k)
+    got = views.load(spark, d, "documents").select("doc_id", query_arguments(text).alias("m"))
+    return got.select("doc_id", F.col("m")["q"].alias("q"), F.col("m")["flag"].alias("flag"), F.col("m")["last"].alias("last"))
+
+
+@query("""WITH e AS (SELECT event_type AS key, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), l AS (SELECT *, lag(t) OVER (PARTITION BY key ORDER BY t) AS b FROM e),
+s AS (SELECT *, sum(CASE WHEN b IS NULL OR t - b > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM l)
+SELECT key, min(t) AS first_at_unix, max(t) AS last_at_unix, count(*) AS calls FROM s GROUP BY key, n HAVING max(t) + 1800 <= (SELECT max(t) FROM e) - 3600""")
+def stream_sessions(spark, d):
+    """Sessions of a stream, by tool, that the watermark has passed."""
+    from strandgraph.streaming import usage
+
+    plain = views.load(spark, d, "events")
+    stream = spark.readStream.schema(plain.schema).parquet(f"{d}/events.parque[t]")
+    unix = views.epoch(stream, "ts")
+    stream = stream.select(unix.alias("at_unix"), F.timestamp_seconds(unix).alias("at"), F.col("event_type").alias("tool"))
+    base = f"{checkpoint_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    out = usage.sessions(stream, "1 hour", "tool")
+    out.writeStream.outputMode("append").format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
 def _add_fingerprint():
     nodes_sql, edges_sql = _graph_sql()
 

@@ -52,8 +52,9 @@ FOLDERS_FIRST = 64
 
 
 def entries(top: str, folder: str) -> tuple[list[str], list[tuple]]:
-    """(folders to follow, files) of one folder of the tree at ``top``. Links and
-    hidden folders but the tracked ones are left out; what cannot be read is empty."""
+    """(folders to follow, files) of one folder of the tree at ``top``. Links, hidden
+    folders but the tracked ones, and the checksums that Hadoop keeps beside its own
+    files are left out; what cannot be read is empty."""
     folders, files = [], []
     join = lambda name: f"{folder}/{name}" if folder else name
     follow = lambda name: not name.startswith(".") or name in TRACKED_DOT_DIRECTORIES
@@ -62,7 +63,7 @@ def entries(top: str, folder: str) -> tuple[list[str], list[tuple]]:
         try:
             with os.scandir(f"{local}/{folder}") as found:
                 for e in found:
-                    if e.is_symlink():
+                    if e.is_symlink() or e.name.startswith(".") and e.name.endswith(".crc"):
                         continue
                     if e.is_dir():
                         folders += [join(e.name)] if follow(e.name) else []
@@ -214,8 +215,13 @@ def classified(tree: DataFrame) -> DataFrame:
     )
 
 
-def safe_relative(path: str) -> str:
-    """``path`` if it stays below a root; absolute paths and ".." do not."""
+def safe_relative(path: str, root: str | None = None) -> str:
+    """``path`` if it stays below a root; absolute paths and ".." do not, nor, where
+    ``root`` is a local folder, do links whose target is outside of it."""
     if path.startswith(("/", "\\")) or re.match(r"^[A-Za-z]:", path) or ".." in path.split("/"):
         raise s.GraphError("path_escape", "paths are relative to the project and stay in it")
+    if root is not None and (root.startswith("/") or root.startswith("file:")):
+        top = os.path.realpath(re.sub("^file:/+", "/", root))
+        if os.path.commonpath([top, os.path.realpath(os.path.join(top, path))]) != top:
+            raise s.GraphError("path_escape", "the path is a link to a place outside of the project")
     return path

@@ -214,3 +214,50 @@ def test_answers_upgrade_unresolved_calls(spark):
     a = spark.createDataFrame([(5, "b.py", 15)], "edge_id long, file_path string, line int")
     r = resolve.apply_answers(e, a, n).collect()
     assert [(x.src, x.dst, x.edge_type, x.source, x.confidence, x.line) for x in r] == [(1, 3, "CALLS", "lsp", 1.0, 3)]
+
+
+def test_strings(spark):
+    import textwrap
+
+    from strandgraph.functions import strings
+
+    text = "a  bb ccc\n dddd eeeeeeeeeeee f g" * 3
+    df = spark.createDataFrame([(text, "a=%41%zz%&b&a=2&%C3%A9=x+y"), ("", "")], "t string, q string")
+    got = df.select(strings.fold(F.col("t"), 9).alias("f"), strings.query_arguments(F.col("q")).alias("m"), strings.percent_decode(F.col("q")).alias("p")).collect()
+    assert got[0].f == textwrap.wrap(" ".join(text.split()), 9, break_long_words=False) and got[1].f == []
+    assert got[0].m == {"a": "2", "b": "", "é": "x y"} and got[1].m == {} and got[0].p.startswith("a=A%zz%&b")
+
+
+def test_links_do_not_escape(tmp_path):
+    import os
+
+    from strandgraph.schema import GraphError
+    from strandgraph.sources.repo import safe_relative
+
+    (tmp_path / "root/in").mkdir(parents=True)
+    (tmp_path / "out").mkdir()
+    os.symlink(tmp_path / "out", tmp_path / "root/away")
+    os.symlink(tmp_path / "root/in", tmp_path / "root/near")
+    root = str(tmp_path / "root")
+    assert [safe_relative(p, root) for p in ("in/x.py", "near/x.py", "not/there")] == ["in/x.py", "near/x.py", "not/there"]
+    for bad in ("away/x.py", "../x", "/etc/passwd", "a/../../x"):
+        with pytest.raises(GraphError):
+            safe_relative(bad, f"file:{root}")
+
+
+def test_listing(spark, tmp_path, monkeypatch):
+    """Folders that executors list give what those of the driver give."""
+    import os
+
+    from strandgraph.sources import repo
+
+    for p in ("a/x.py", "a/b/c/y.py", "a/b/.hidden/z.py", ".github/w.yml", "d/e/f/g/h.py", "top.py", "a/.x.py.crc"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    os.symlink(tmp_path / "a", tmp_path / "link")
+    whole = {r.path: r.size for r in repo.listing(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(repo, "FOLDERS_FIRST", 1)
+    assert {r.path: r.size for r in repo.listing(spark, f"file://{tmp_path}").collect()} == whole
+    assert set(whole) == {"a/x.py", "a/b/c/y.py", ".github/w.yml", "d/e/f/g/h.py", "top.py"}
+    with pytest.raises(GraphError, match="path_not_found"):
+        repo.listing(spark, f"{tmp_path}/none")
