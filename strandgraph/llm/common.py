@@ -3,8 +3,10 @@ shuffles and session plumbing."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from contextlib import contextmanager
@@ -58,6 +60,10 @@ def ascii_words(raw: bytes) -> list[bytes]:
     return raw.translate(_LOWER).split()
 
 
+def forget_words() -> None:
+    _words.clear()
+
+
 def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` words; a shorter, non-empty text is one run."""
     n = len(w) - k + 1
@@ -74,16 +80,48 @@ def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+_given_back = 0.0
+
+
+def give_back(seconds: float = 2.0) -> None:
+    """Returns freed memory to the system, at most once in ``seconds``: a Python worker
+    outlives its tasks, and allocators keep what the largest of them needed."""
+    global _given_back
+    if time.monotonic() - _given_back < seconds:
+        return
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+    _given_back = time.monotonic()
+
+
+def frugal(run):
+    """``run``, a function of ``mapInArrow``; gives memory back before and after."""
+
+    def inner(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def prepare(spark: SparkSession, rows_per_batch: int = 512) -> SparkSession:
-    """Ships this package to the executors, bounds Arrow batches, and makes sure
+def prepare(spark: SparkSession, rows_per_batch: int = 512, batch_bytes: int = 16 << 20) -> SparkSession:
+    """Ships this package to the executors, bounds Arrow batches by rows and bytes (one
+    row may have more), and makes sure
     that checkpoint() has a folder: the session's own, or a temporary one where
     all of Spark runs in this process. Elsewhere ``spark.checkpoint.dir`` has to
     name a folder that the executors share."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import Scratch, U, as_table, shingle_hashes, word_hashes
+from strandgraph.llm.common import Scratch, U, as_table, frugal, shingle_hashes, word_hashes
 
 SEED = 5
 COVER = 0.6
@@ -219,7 +219,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_byt
                 rows = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for x in shared.value.leaks(t, cover)]
                 yield from as_table(LEAKS, **{f.name: [r[i] for r in rows] for i, f in enumerate(LEAKS)}).to_batches()
 
-        part = docs.mapInArrow(run, LEAKS_DDL)
+        part = docs.mapInArrow(frugal(run), LEAKS_DDL)
         if n > 1:
             part = scratch.put(part, f"block{i}")
             shared.unpersist()
@@ -238,7 +238,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_byt
             for b in batches:
                 yield b.filter(pa.array([not shared.value.leaks(t, cover) for t in b.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
         if i < n - 1:
             docs = scratch.put(docs, f"block{i}")
             scratch.drop(f"block{i - 1}")

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import Scratch, U, as_table, ascii_words, mix, number_of_groups, pack, partitions, shingle_hashes, to_bytes, unpack, word_hashes
+from strandgraph.llm.common import Scratch, U, as_table, ascii_words, forget_words, frugal, give_back, mix, number_of_groups, pack, partitions, shingle_hashes, to_bytes, unpack, word_hashes
 
 WORDS = 5
 COORDS, ROWS = 128, 4
@@ -121,6 +121,7 @@ def _info(batches):
             for k, v in zip(out, (doc_id, own, n, digest, packed)):
                 out[k].append(v)
         yield from as_table(INFO, **out).to_batches()
+    forget_words()
 
 
 # -- groups, what they send and what they hear ------------------------------------
@@ -155,6 +156,7 @@ def meeting(width: int, summary):
     told of each key (a matrix) and of which keys; every group that named a key hears it."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         blobs, pids = t.column("items").to_pylist(), column(t, "pid")
         rows = unpack(blobs, width)
         src = np.repeat(pids, [len(x) // (8 * width) for x in blobs])
@@ -286,6 +288,7 @@ def _sets(batches):
         t = pa.Table.from_batches([batch]).filter(pa.array(new, pa.bool_()))
         items = [shingle_set(words_of(x)).tobytes() for x in t.column("text").to_pylist()]
         yield from pa.table({f.name: pa.array(items, f.type) if f.name == "items" else t.column(f.name) for f in SETS}).cast(SETS).to_batches()
+    forget_words()
 
 
 DEALT = pa.schema([("vid", pa.int32()), ("pivot", pa.int64()), ("part", pa.int64()), ("rep", pa.int64()), ("items", pa.binary())])
@@ -321,6 +324,7 @@ KNOWN_DDL = "pivot bigint, rep bigint, linked boolean, distance double"
 
 
 def _compare(t: pa.Table) -> pa.Table:
+    give_back()
     pivot, part, rep = (column(t, c) for c in ("pivot", "part", "rep"))
     blobs = t.column("items").to_pylist()
     order = np.lexsort((rep != pivot, part, pivot))  # the pivot stands first in its part
@@ -679,7 +683,7 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "near"), partitions(spark)
     docs = docs.select("doc_id", own().alias("own"), "text")
-    info = scratch.put(docs.mapInArrow(_info, INFO_DDL).withColumn("row", F.monotonically_increasing_id()), "info")
+    info = scratch.put(docs.mapInArrow(frugal(_info), INFO_DDL).withColumn("row", F.monotonically_increasing_id()), "info")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "own")).alias("first")
     one = info.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"), first)
     reps = scratch.put(one, "reps")
@@ -692,8 +696,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     wanted = met.select("pid", "rep", "pivots", "parts", "serves", F.col("doc_id").alias("its_id"), F.col("own").alias("its_own")).hint("shuffle_hash")
     full = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("own") == F.col("its_own"))).select("pid", "rep", "text", "pivots", "parts", "serves")
-    sets = scratch.put(full.mapInArrow(_sets, SETS_DDL), "sets")
-    dealt = sets.mapInArrow(deal(groups), DEALT_DDL).repartition(n, "vid")
+    sets = scratch.put(full.mapInArrow(frugal(_sets), SETS_DDL), "sets")
+    dealt = sets.mapInArrow(frugal(deal(groups)), DEALT_DDL).repartition(n, "vid")
     known = scratch.put(dealt.groupBy("vid").applyInArrow(_compare, KNOWN_DDL), "known")
 
     state = parents(known.where("linked").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), scratch, "tree", groups)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import Scratch, as_table, grouped
+from strandgraph.llm.common import Scratch, as_table, frugal, grouped
 
 LENGTH = 2048
 #: Sequences that a group fills, about.
@@ -195,7 +195,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
                         out[name].append(v)
             yield from as_table(PIECES, **out).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES_DDL)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), PIECES_DDL)
 
 
 class Pool:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import U, as_table, to_bytes
+from strandgraph.llm.common import U, as_table, frugal, to_bytes
 
 TRIGRAMS = 1 << 17
 MARKS = 2 * 4 + 16 + 64 + 4
@@ -208,7 +208,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             value = [shared.value.score(t) for t in b.column("text").to_pylist()]
             yield from pa.Table.from_batches([b]).append_column("score", pa.array(value, pa.float64())).to_batches()
 
-    return docs.mapInArrow(run, docs.selectExpr("*", "cast(0 as double) as score").schema)
+    return docs.mapInArrow(frugal(run), docs.selectExpr("*", "cast(0 as double) as score").schema)
 
 
 def held_out():

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import to_bytes
+from strandgraph.llm.common import frugal, to_bytes
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -123,7 +123,7 @@ def scan_secrets(docs: DataFrame, mask: str | None = None) -> DataFrame:
             yield from t.to_batches()
 
     schema = docs.schema if mask is not None else docs.withColumn("spans", F.lit(None).cast(SPANS_DDL)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def listed(spans: Column) -> Column:
