@@ -130,25 +130,28 @@ def trace(root: DataFrame, nodes: DataFrame, edges: DataFrame, way: str = BOTH,
     return out
 
 
-def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, types, labels=None, depth: int = 2, limit: int = 220) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges around ``starts``, both ways, at most ``limit`` nodes:
-    (id, hop) and (src, dst, edge_type) between them. Starts count first, then
-    nodes by level and qualified name."""
+def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, types, labels=None, depth: int = 2, limit: int | None = 220) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges around ``starts``, both ways, at most ``limit`` nodes, or
+    all where it is None: (id, hop) and (src, dst, edge_type) between them. Starts
+    count first, then nodes by level and qualified name."""
     e = of_types(edges, types).where(F.col("dst") != UNRESOLVED).select("src", "dst", "edge_type")
     both = e.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other")))
     allowed = nodes if labels is None else nodes.where(F.col("label").isin(*labels))
     allowed = allowed.select(F.col("id").alias("other"), "qualified_name")
     seen = starts.select("id").distinct().withColumn("hop", F.lit(0)).checkpoint()
-    front, left = seen.select("id"), limit - seen.count()
+    front, left = seen.select("id"), None if limit is None else limit - seen.count()
     for hop in range(1, depth + 1):
-        if left <= 0:
+        if left is not None and left <= 0:
             break
         step = front.join(both, "id").select("other").distinct().join(allowed, "other").select(F.col("other").alias("id"), "qualified_name")
-        front = step.join(seen, "id", "left_anti").orderBy("qualified_name", "id").limit(left).select("id").checkpoint()
+        front = step.join(seen, "id", "left_anti")
+        if left is not None:
+            front = front.orderBy("qualified_name", "id").limit(left)
+        front = front.select("id").checkpoint()
         n = front.count()
         if not n:
             break
-        left -= n
+        left = None if left is None else left - n
         seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
     kept = seen.select("id")
     inside = e.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")

@@ -227,7 +227,7 @@ SELECT id, 0 AS hop FROM s UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id,
 def walk_nodes(spark, d):
     checkpoint_folder(spark)
     n = views.g_nodes(spark, d)
-    return graph.walk(n.where("label = 'Module'"), n, views.g_edges(spark, d), ["CONTAINS", "DEFINES"], None, 2, 1_000_000)[0]
+    return graph.walk(n.where("label = 'Module'"), n, views.g_edges(spark, d), ["CONTAINS", "DEFINES"], None, 2, None)[0]
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, e AS (SELECT * FROM g_edges WHERE edge_type = 'CALLS'), t AS (SELECT id, count(*) AS score FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)

@@ -261,3 +261,17 @@ def test_listing(spark, tmp_path, monkeypatch):
     assert set(whole) == {"a/x.py", "a/b/c/y.py", ".github/w.yml", "d/e/f/g/h.py", "top.py"}
     with pytest.raises(GraphError, match="path_not_found"):
         repo.listing(spark, f"{tmp_path}/none")
+
+
+def test_walk_without_a_limit_is_whole(spark, monkeypatch):
+    from strandgraph.plans import catalog
+
+    n = 1_000_100
+    leaves = spark.range(2, n + 2)
+    nodes = leaves.select("id", F.lit("Class").alias("label"), F.lit("c").alias("qualified_name")).unionByName(spark.createDataFrame([(1, "Module", "m")], "id long, label string, qualified_name string"))
+    edges = leaves.select(F.lit(1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("edge_type"))
+    monkeypatch.setattr(catalog.views, "g_nodes", lambda *_: nodes)
+    monkeypatch.setattr(catalog.views, "g_edges", lambda *_: edges)
+    assert catalog.walk_nodes(spark, "-").groupBy("hop").count().orderBy("hop").collect() == [(0, 1), (1, n)]
+    seen, inside = graph.walk(nodes.where("id = 1"), nodes.where("id < 400"), edges, ["CONTAINS"], None, 2, 100)
+    assert (seen.count(), inside.count()) == (100, 99)
