@@ -217,6 +217,29 @@ def innermost(points: DataFrame, spans: DataFrame, key: str = "file_path") -> Da
     return points.join(best.select("id", F.col("best.span_id").alias("span_id")), "id", "left")
 
 
+def narrowest(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(file_path, line, size, span_id): for each ``file_path`` and ``line`` of
+    ``points`` the shortest of ``spans(file_path, id, start_line, end_line)`` around
+    it, of equal ones the least id. A span is cut into aligned blocks of 2**level
+    lines, two a level at most, and a line looks up the one block of each level that
+    holds it: the joins are on equal keys and their rows grow with points and spans,
+    not with their product."""
+    a, z = (F.col(c).cast("bigint") for c in ("start_line", "end_line"))
+    one = spans.groupBy("file_path", a.alias("a"), z.alias("z")).agg(F.min("id").alias("id")).where("a <= z")
+    top = F.length(F.bin(F.expr("z - a + 1"))) - 1
+    blocks = one.select("file_path", F.expr("z - a").alias("size"), "id", "a", "z", F.explode(F.sequence(F.lit(0), top)).alias("level"))
+    blocks = blocks.withColumns({"l": F.expr("shiftright(a + shiftleft(1L, level) - 1, level)"), "r": F.expr("shiftright(z + 1, level)")}).where("l < r")
+    ends = F.filter(F.array(F.when(F.col("l") % 2 != 0, F.col("l")), F.when(F.col("r") % 2 != 0, F.col("r") - 1)), lambda b: b.isNotNull())
+    blocks = blocks.select("file_path", "level", F.explode(ends).alias("block"), F.struct("size", F.col("id").alias("span_id")).alias("b"))
+    blocks = blocks.groupBy("file_path", "level", "block").agg(F.min("b").alias("b"))
+    most = one.agg(F.max(top).alias("top"))
+    at = points.select("file_path", "line").distinct().crossJoin(F.broadcast(most)).where("top is not null")
+    at = at.select("file_path", "line", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
+    at = at.withColumn("block", F.expr("shiftright(cast(line as bigint), level)"))
+    best = at.join(blocks, ["file_path", "level", "block"]).groupBy("file_path", "line").agg(F.min("b").alias("b"))
+    return best.select("file_path", "line", "b.size", "b.span_id")
+
+
 def containment(definitions: DataFrame, files: DataFrame) -> DataFrame:
     """(src, dst, edge_type): CONTAINS from the innermost definition around each
     definition, else DEFINES from its file. ``files`` has id and file_path."""

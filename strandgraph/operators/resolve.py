@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandgraph import schema as s
 from strandgraph.functions import paths
+from strandgraph.operators import graph
 
 
 def owner_of(qualified_name: Column) -> Column:
@@ -193,9 +194,10 @@ def apply_answers(edges: DataFrame, answers: DataFrame, nodes: DataFrame) -> Dat
     the shortest callable or class around the answered line. The unresolved
     edge stays. ``answers(edge_id, file_path, line)``."""
     open_ = edges.where("edge_type = 'CALL_UNRESOLVED'").select(F.col("id").alias("edge_id"), "src", "target_name", F.col("line").alias("at_line"))
-    spans = nodes.where(F.col("label").isin(*s.CALLABLES, "Class")).select("id", F.col("file_path").alias("f"), "start_line", "end_line")
-    hit = answers.join(open_, "edge_id").join(spans, (F.col("file_path") == F.col("f")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
-    best = hit.groupBy("edge_id", "src", "target_name", "at_line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "id")).alias("b"))
+    spans = nodes.where(F.col("label").isin(*s.CALLABLES, "Class"))
+    hit = answers.select("edge_id", "file_path", "line").join(graph.narrowest(answers, spans), ["file_path", "line"])
+    best = hit.groupBy("edge_id").agg(F.min(F.struct("size", F.col("span_id").alias("id"))).alias("b"))
+    best = open_.join(best, "edge_id").dropDuplicates(["edge_id", "src", "target_name", "at_line"])
     return best.select("edge_id", "src", F.col("b.id").alias("dst"), F.lit("CALLS").alias("edge_type"), F.lit("lsp").alias("source"), F.lit(1.0).cast("float").alias("confidence"), "target_name", F.col("at_line").alias("line"))
 
 

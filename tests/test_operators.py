@@ -216,6 +216,27 @@ def test_answers_upgrade_unresolved_calls(spark):
     assert [(x.src, x.dst, x.edge_type, x.source, x.confidence, x.line) for x in r] == [(1, 3, "CALLS", "lsp", 1.0, 3)]
 
 
+def test_answers_equal_a_model_and_join_on_equal_keys(spark):
+    r = random.Random(4)
+    spans = [(i, "Function", r.choice("ab"), a := r.randint(-3, 70), a + r.choice([-1, 0, 1, 2, 3, 7, 8, 30, 64, 200])) for i in range(60)] + [(99, "Function", "a", None, 5), (98, "Field", "a", 5, 5)]
+    answers = [(i, r.choice("abc"), r.choice([None, *range(-5, 300)])) for i in range(400)] + [(1, "a", 40), (2, "b", 33), (2, "b", 33), (None, "a", 40)]
+    n = spark.createDataFrame(spans, "id long, label string, file_path string, start_line int, end_line int")
+    a = spark.createDataFrame(answers, "edge_id long, file_path string, line int")
+    e = spark.createDataFrame([(i, i * 2, 0, "CALL_UNRESOLVED", None if i % 3 else "t", 7) for i in range(0, 390)] + [(5, 10, 0, "CALL_UNRESOLVED", "t", 7)] * 2, "id long, src long, dst long, edge_type string, target_name string, line int")
+    got = resolve.apply_answers(e, a, n)
+    want = {}
+    for edge, path, line in answers:
+        for i, label, f, x, z in spans:
+            if edge is not None and line is not None and x is not None and label == "Function" and f == path and x <= line <= z:
+                want[edge] = min(want.get(edge, (1000, 0)), (z - x, i))
+    asked = {(x.id, x.src, x.target_name) for x in e.collect()}
+    assert sorted((x.edge_id, x.src, x.target_name or "", x.dst) for x in got.collect()) == sorted((i, s, t or "", want[i][1]) for i, s, t in asked if i in want)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not any("<=" in x for x in joins)
+    none = resolve.apply_answers(e, a, n.where("false"))
+    assert none.count() == 0
+
+
 def test_strings(spark):
     import textwrap
 
