@@ -226,7 +226,7 @@ class Engine:
         v = self.store.begin(project)
         if files is None:
             files = repo.classified(repo.with_content(tree))
-        files = v.put("raw", files.repartition(F.xxhash64("path")))
+        files = v.put("raw", repo.dealt(files, F.xxhash64("path")))
         found = manifests.discover(self.spark, repo.with_content(tree.where(manifests.wanted())))
         took("hash")
         extracts = v.put("extracts", build.parse(files) if before is None else build.refreshed(files, known, before.get("extracts")))

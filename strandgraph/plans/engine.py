@@ -3,12 +3,14 @@ documents: one module each, with a function that calls another one's."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandgraph.api import Engine
-from strandgraph.sources import views
+from strandgraph.sources import repo, views
 from strandgraph.storage import checkpoint_folder
 
 QUERIES: dict = {}
@@ -34,6 +36,27 @@ def _put(engine: Engine, path: str, text: str):
     out.close()
 
 
+def _write_modules(spark, engine: Engine, d: str, tree: str):
+    """One module for each document, written by the executors side by side."""
+    for k in range(FOLDERS):
+        at, fs = engine.store._fs(f"{tree}/p{k}")
+        fs.mkdirs(at)
+    ids = views.load(spark, d, "documents").select("doc_id")
+    n, top = ids.count(), fs.makeQualified(at).getParent().toString()
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = (fs.LocalFileSystem(), re.sub("^file:/+", "/", top)) if top.startswith("file:") else fs.FileSystem.from_uri(top)
+        for b in batches:
+            for i in b.column("doc_id").to_pylist():
+                with system.open_output_stream(f"{base}/p{i % FOLDERS}/m{i}.py") as out:
+                    out.write(f"def f_{i}():\n    return f_{(i * STEP + SHIFT) % n}()\n".encode())
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    repo.dealt(ids, "doc_id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def _built(spark, d, own: bool = False) -> tuple[Engine, str]:
     """An engine with the tree of ``d`` indexed, and the tree's folder; one for all
     calls that only ask, or one of its own."""
@@ -41,9 +64,7 @@ def _built(spark, d, own: bool = False) -> tuple[Engine, str]:
     if own or key not in _engines:
         base = f"{checkpoint_folder(spark)}/engine-{uuid.uuid4().hex}"
         engine = Engine(spark, f"{base}/home", clock=lambda: 1_000_000)
-        ids = [r[0] for r in views.load(spark, d, "documents").select("doc_id").orderBy("doc_id").collect()]
-        for i in ids:
-            _put(engine, f"{base}/tree/p{i % FOLDERS}/m{i}.py", f"def f_{i}():\n    return f_{(i * STEP + SHIFT) % len(ids)}()\n")
+        _write_modules(spark, engine, d, f"{base}/tree")
         _put(engine, f"{base}/tree/notes.txt", "plain\n")
         engine.report = engine.index_repository(repo_path=f"{base}/tree", name="t")
         if own:
@@ -138,8 +159,14 @@ def api_index_status(spark, d):
 
 @query(f"""WITH {TREE} SELECT path, 'indexed' AS status, CAST(NULL AS VARCHAR) AS reason FROM f WHERE path LIKE 'p4/%' UNION ALL SELECT 'notes.txt', 'skipped', 'unsupported_language' UNION ALL SELECT 'gone.py', 'skipped', 'not_found'""")
 def api_check_index_coverage(spark, d):
-    r = _built(spark, d)[0].check_index_coverage(project="t", paths=["notes.txt", "gone.py"], scopes=["p4"], limit=1000)
-    return _frame(spark, [*r["paths"], *r["scopes"][0]["files"]], "path string, status string, reason string")
+    """Paths, and all pages of a folder."""
+    engine, asked = _built(spark, d)[0], {"project": "t", "scopes": ["p4"], "limit": 1000}
+    r = engine.check_index_coverage(paths=["notes.txt", "gone.py"], **asked)
+    rows = [*r["paths"], *r["scopes"][0]["files"]]
+    while r["has_more"]:
+        r = engine.check_index_coverage(**asked, cursor=r["cursor"])
+        rows += r["scopes"][0]["files"]
+    return _frame(spark, rows, "path string, status string, reason string")
 
 
 @query("SELECT * FROM (VALUES ('new.py', 'added', ''), ('p1/m1.py', 'modified', 'p1.m1.f_1'), ('notes.txt', 'removed', '')) AS v(path, change, symbols)")

@@ -86,35 +86,38 @@ def entries(top: str, folder: str) -> tuple[list[str], list[tuple]]:
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, mtime_ns, uri) of all files below ``root``. The driver looks
-    into the first folders only; executors list what is below the others, so the
-    names of a large tree do not pass the driver."""
+    for the first folders only; executors list the files of these and what is
+    below the others, so the names of a large tree do not pass the driver."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     top = fs.makeQualified(base).toString().rstrip("/")
     if not fs.exists(base):
         raise s.GraphError("path_not_found", f"no folder '{root}'")
-    rows, todo, seen = [], [""], 0
-    while todo and seen < FOLDERS_FIRST and len(todo) < FOLDERS_FIRST:
-        folders, files = entries(top, todo.pop(0))
-        todo += folders
-        rows += files
-        seen += 1
+    todo, seen = [""], []
+    while todo and len(seen) < FOLDERS_FIRST and len(todo) < FOLDERS_FIRST:
+        seen.append(todo.pop(0))
+        todo += entries(top, seen[-1])[0]
     ddl = "path string, size long, mtime_ns long, uri string"
-    out = spark.createDataFrame(rows, ddl)
 
     def run(batches):
         for b in batches:
-            stack = b.column("folder").to_pylist()
+            stack = list(zip(b.column("folder").to_pylist(), b.column("below").to_pylist()))
             while stack:
-                folders, files = entries(top, stack.pop())
-                stack += folders
+                folder, below = stack.pop()
+                folders, files = entries(top, folder)
+                stack += [(x, True) for x in folders] if below else []
                 if files:
                     yield pa.RecordBatch.from_pylist([dict(zip(LISTED.names, f)) for f in files], LISTED)
 
-    if todo:
-        below = spark.createDataFrame([(x,) for x in todo], "folder string").repartition(len(todo)).mapInArrow(run, ddl)
-        out = out.unionByName(below)
-    return out.checkpoint()
+    asked = spark.createDataFrame([(x, False) for x in seen] + [(x, True) for x in todo], "folder string, below boolean")
+    tasks = min(len(seen) + len(todo), 4 * spark.sparkContext.defaultParallelism)
+    return asked.repartition(tasks).mapInArrow(run, ddl).checkpoint()
+
+
+def dealt(df: DataFrame, key) -> DataFrame:
+    """``df`` in two parts a core: rows that stand for files are small, and Spark
+    would join a whole tree of them into one task."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def with_content(tree: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def with_content(tree: DataFrame) -> DataFrame:
             yield from pa.Table.from_batches([b]).append_column("content", pa.array(out, pa.binary())).to_batches()
 
     tree = tree.drop("content")
-    return tree.repartition(F.xxhash64("path")).mapInArrow(run, tree.selectExpr("*", "cast(null as binary) as content").schema)
+    return dealt(tree, F.xxhash64("path")).mapInArrow(run, tree.selectExpr("*", "cast(null as binary) as content").schema)
 
 
 def outer_rules(spark: SparkSession, root: str, out: Ignore) -> None:

@@ -157,3 +157,28 @@ def test_delete(engine):
     with pytest.raises(GraphError, match="project_not_found"):
         engine.delete_project(project="none")
     assert engine.delete_project(project="shop")["deleted"] == "shop" and engine.list_projects()["projects"] == []
+
+
+def test_the_tree_of_the_queries_is_written_and_read_in_many_tasks(spark, monkeypatch):
+    from strandgraph.operators import paging
+    from strandgraph.plans import engine
+    from strandgraph.sources import repo
+
+    d, put = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(engine, "_engines", {})
+    monkeypatch.setattr(engine, "_put", lambda e, path, text, real=engine._put: (put.append(path), real(e, path, text)))
+    e, tree = engine._built(spark, d)
+    # the driver writes one file however many documents there are
+    assert [p.rpartition("/")[2] for p in put] == ["notes.txt"] and e.report["files_indexed"] == spark.read.parquet(f"{d}/documents.parquet").count()
+    seen = []
+    monkeypatch.setattr(spark, "createDataFrame", lambda rows, *a, real=spark.createDataFrame: (seen.extend(rows), real(rows, *a))[1])
+    listed = repo.listing(spark, tree)
+    # the driver has names of folders, not of files
+    assert len(seen) == 1 + engine.FOLDERS and listed.count() == 1 + e.report["files_indexed"]
+    monkeypatch.undo()
+    monkeypatch.setattr(engine, "_engines", {(spark.sparkContext.applicationId, d): (e, tree)})
+    assert repo.with_content(listed).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    # a folder of more files than a page has
+    monkeypatch.setattr(paging, "clamp", lambda limit, default, most=7: min(most, limit or default))
+    got = engine.api_check_index_coverage(spark, d)
+    assert sorted(r.path for r in got.collect()) == sorted([r.path for r in listed.where("path like 'p4/%'").collect()] + ["gone.py", "notes.txt"])
