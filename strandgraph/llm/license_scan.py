@@ -2,9 +2,12 @@
 
 Texts with a licensing word are searched whole, as words without list numbers,
 so line breaks and what stands around a notice make no difference. A template
-is a notice's forms ("released under the ...") and a license's own text. Where
-a form's "under" or a run of ``RUN`` words of a text stands, the words there are
-aligned with it and cut to the matched stretch. A stretch is confirmed if at
+is a notice's forms ("released under the ...") and a license's own text. Blocks
+of ``BLOCK`` words, every ``STEP`` words, are compressed alone and given each
+template as a zstandard raw dictionary; where that saves ``SAVED`` bytes, the
+template is a candidate. In candidate blocks only, from a form's "under" or a run
+of ``RUN`` words of a text, the words are aligned with it and cut to the matched
+stretch. A stretch is confirmed if at
 least ``ALIKE`` of its wording agrees, no word that tells licenses apart (names,
 version numbers, "non-commercial" and the like) differs between its first and
 last matched word (parts of over ``PART`` words that are left out are listed, and
@@ -35,6 +38,8 @@ from strandgraph.llm.common import as_table
 
 ALIKE = 0.75
 RUN = 4
+#: Blocks overlap by more than a form is long, so one holds a form whole.
+BLOCK, STEP, SAVED = 64, 32, 4
 OPENING, SHARE = 6, 0.3
 #: Words of a template that may be another wording; more are a part left out.
 PART = 8
@@ -107,6 +112,7 @@ class Unit(NamedTuple):
     need: frozenset
     grant: int
     packer: zstandard.ZstdCompressor
+    sieve: zstandard.ZstdCompressor
 
 
 class Templates:
@@ -114,16 +120,16 @@ class Templates:
         self.units: list[Unit] = []
         for name, (named, text) in TEMPLATES.items():
             forms = [f for t in (named, text) if t.startswith("This work") for f in self.forms(t)]
-            packer = self.packer(named)
+            packer, sieve = self.packer(named), self.packer(" ".join(words(named)))
             for form in forms:
                 w = words(form)
                 at = w.index("under" if "under" in w else "identifier") + 1
-                self.units.append(Unit(name, w, frozenset(x for x in w[at:] if not x.isdigit() and x not in VAGUE), 0, packer))
+                self.units.append(Unit(name, w, frozenset(x for x in w[at:] if not x.isdigit() and x not in VAGUE), 0, packer, sieve))
             if not text.startswith("This work"):
                 for t in [text, text.replace("This program", "This library")] if "This program" in text else [text]:
                     w = words(t.removesuffix(_WARRANTY))
                     t = t.removesuffix(_WARRANTY) + " " + TAILS.get(name, "")
-                    self.units.append(Unit(name, words(t), frozenset(), len(w), self.packer(t)))
+                    self.units.append(Unit(name, words(t), frozenset(), len(w), self.packer(t), self.packer(" ".join(words(t)))))
         self.runs: dict[tuple, dict[int, list]] = {}
         for u, unit in enumerate(self.units):
             for a in range(len(unit.words) - RUN + 1) if unit.grant else ():
@@ -141,9 +147,24 @@ class Templates:
         head, _, spdx = named.partition(" SPDX-License-Identifier: ")
         return re.split(r"\. (?=[A-Z][a-z]+ under|Distributed)", head.rstrip(".")) + ["SPDX-License-Identifier: " + x for x in spdx.split()]
 
+    def candidates(self, mine: list[str]) -> list[set[int]]:
+        """For each unit the steps of ``STEP`` words that are in a block which its
+        words, as a dictionary, make smaller by ``SAVED`` bytes or more."""
+        steps: dict[int, set[int]] = {id(unit.sieve): set() for unit in self.units}
+        sieves = {id(unit.sieve): unit.sieve for unit in self.units}
+        for k in range(0, max(1, len(mine) - BLOCK + STEP), STEP):
+            raw = " ".join(mine[k : k + BLOCK]).encode()
+            alone = len(self.plain.compress(raw))
+            for key, sieve in sieves.items():
+                if alone - len(sieve.compress(raw)) >= SAVED:
+                    steps[key].update(range(k // STEP, (k + BLOCK) // STEP))
+        return [steps[id(unit.sieve)] for unit in self.units]
+
     def windows(self, mine: list[str], ends_sentence):
-        """(unit, first word, end) of the places where a unit may stand; a form starts
-        in the sentence of its "under"."""
+        """(unit, first word, end) of the places where a unit may stand, among the
+        steps where compression makes it a candidate; a form starts in the sentence
+        of its "under"."""
+        steps = self.candidates(mine)
         for i, w in enumerate(mine):
             if w == "under" or w == "identifier":
                 near = set(mine[i + 1 : i + 24])
@@ -151,11 +172,13 @@ class Templates:
                 while lo > max(0, i - 6) and not ends_sentence(lo - 1):
                     lo -= 1
                 for u, unit in enumerate(self.units):
-                    if not unit.grant and w in unit.words and unit.need <= near:
+                    if not unit.grant and i // STEP in steps[u] and w in unit.words and unit.need <= near:
                         yield u, lo, i + len(unit.words) + 8
         last: dict[int, tuple] = {}
         for b in range(len(mine) - RUN + 1):
             for u, places in self.runs.get(tuple(mine[b : b + RUN]), {}).items():
+                if b // STEP not in steps[u]:
+                    continue
                 first, at, end = last.get(u, (b, -1, b))
                 a = next((a for a in places if a > at), places[0])
                 if b - end > 60 or a < at - 8:

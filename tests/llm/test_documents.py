@@ -481,6 +481,30 @@ def test_license_notices_as_published(llm):
     assert got == want
 
 
+def test_licenses_are_candidates_by_compression(monkeypatch):
+    import random
+
+    from strandgraph.llm import license_scan as scan
+
+    r, t, rows = random.Random(7), scan.Templates(), []
+    vocabulary = "under the terms of this version license software and in or any is public work free".split()
+    for name, (named, text) in scan.TEMPLATES.items():
+        for form in [*t.forms(named), text]:
+            w = form.split()
+            for k in r.sample(range(len(w)), len(w) // 8):
+                w[k] = r.choice(vocabulary)
+            around = [" ".join(r.choices(vocabulary, k=r.randint(0, 90))) for _ in "ab"]
+            rows.append(f"{around[0]}. {' '.join(w)}. {around[1]}")
+    got = [t.confirmed(x) for x in rows]
+    assert sum(map(bool, got)) > len(rows) // 2
+    # what compression leaves out, no alignment would have confirmed
+    monkeypatch.setattr(scan, "SAVED", -(10**6))
+    assert [t.confirmed(x) for x in rows] == got
+    # and without its candidates there are none
+    monkeypatch.setattr(scan, "SAVED", 10**6)
+    assert not any(t.confirmed(x) for x in rows)
+
+
 def test_license_sentences_in_long_lines(llm):
     """A notice is found in a line or paragraph with other text, at its own place."""
     from strandgraph.llm.license_scan import TEMPLATES, scan_licenses
